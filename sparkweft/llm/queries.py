@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import mixing, packing
+from sparkweft.llm import chat, host_rules, mixing, packing, simhash, token_count
 from sparkweft.llm.common import table
 
 
@@ -18,16 +18,83 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
+    "op5_host_rules": op5_host_rules,
+    "op7_token_count": op7_token_count,
+    "op9_simhash": op9_simhash,
 }
 
+_CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+p AS (
+  SELECT *, string_agg(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-') || chr(2), '')
+    OVER (PARTITION BY conv_id ORDER BY pos) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+whole AS (SELECT conv_id, n_turns, prefix FROM p WHERE pos = n_turns),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies FROM whole w
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.prefix = w.prefix) GROUP BY n_turns, prefix)
+SELECT conv_id, (pos - 1) // 64 AS part, k.n_turns, k.n_copies,
+  string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')
+    || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')
+    || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM t JOIN kept k USING (conv_id) GROUP BY ALL
+"""
+
+_HOST_SQL = """
+WITH w AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+m AS (
+  SELECT doc_id, host, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, words FROM w),
+g AS (SELECT doc_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS gram
+  FROM m, LATERAL (SELECT unnest(range(1, n_words - 1)) AS i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 3) t(k) GROUP BY doc_id),
+d AS (
+  SELECT doc_id, host, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n.n, 0) > 50 * n_words AS base_failed
+  FROM m LEFT JOIN n USING (doc_id)),
+h AS (SELECT host, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM d GROUP BY host),
+s AS (
+  SELECT greatest(least(sum(failed) / sum(docs), 0.999), 0.001) AS mean, avg((failed / docs) ** 2) - avg(failed / docs) ** 2 AS spread,
+    avg(1.0::DOUBLE / docs) AS noise FROM h),
+prior AS (SELECT mean, greatest(least(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * noise, 1e-6) - 1, 1000.0), 2.0) AS k FROM s),
+v AS (SELECT host, round((failed + mean * k) / (docs + k), 9) AS host_rate FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND host_rate < 0.5 AS kept, d.host, host_rate
+FROM d JOIN v ON d.host IS NOT DISTINCT FROM v.host
+"""
+
 ORACLES = {
+    "op3_chat": _CHAT_SQL,
+    "op5_host_rules": _HOST_SQL,
     "op4_mixing": """
 WITH sizes AS (SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source),
 rate AS (
