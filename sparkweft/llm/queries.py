@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import chat, host_rules, mixing, packing, simhash, token_count
+from sparkweft.llm import chat, embed_dedup, host_rules, mixing, packing, simhash, token_count
 from sparkweft.llm.common import table
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -39,6 +43,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embed_dedup": op1_embed_dedup,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
