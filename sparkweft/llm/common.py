@@ -33,15 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    A folder of its own is set only where the session names none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where the session names none, as in local tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkweft-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -50,6 +53,12 @@ def remainder(id_col: str, m: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % m
 
 
+def rows_with(documents: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
+    """doc_id, text, held_out, and all columns of the document as ``row``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"), row)
+
+
 def sampled_ids(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> list:
     """Ids of at most ``per_class`` rows of each class, first by a hash of the id.
 

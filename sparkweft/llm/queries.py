@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import chat, embed_dedup, host_rules, mixing, packing, simhash, token_count
+from sparkweft.llm import chat, embed_dedup, host_rules, langid, lm_score, mixing, packing, simhash, token_count, toxicity
 from sparkweft.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -19,7 +19,7 @@ def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,22 +34,37 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_embed_dedup": op1_embed_dedup,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_host_rules": op5_host_rules,
+    "op6_langid": op6_langid,
     "op7_token_count": op7_token_count,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_lm_score": op10_lm_score,
 }
 
 _CHAT_SQL = """
