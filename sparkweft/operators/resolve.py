@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions import expr
+from sparkweft.session import durable
 
 
 def files(spellings: DataFrame, known: DataFrame, root: str = "") -> DataFrame:
@@ -51,11 +52,13 @@ def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None
     # live wildcards have no key to join by: the spellings that hold one, or reach the last stage, scan the names
     wild = asked.where(open_pattern).join(row, ends_with & fits)
     parts.append(wild.select("reference", "usr", F.lit(4).alias("stage")))
-    parts.append(asked.join(row, expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    found = found.distinct()
+    # only spellings that nothing above settled reach the scan of all names
+    found = durable(found.distinct())
+    left = durable(asked.join(found.select("reference").distinct(), "reference", "left_anti"))
+    found = found.unionByName(left.join(row, expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage"))).distinct()
     first = Window.partitionBy("reference")
     found = found.withColumn("__first", F.min("stage").over(first)).where("stage = __first").drop("__first")
     label = expr.first_filled("qualified", "name")

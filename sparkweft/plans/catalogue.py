@@ -446,10 +446,10 @@ def resolve_cascade(spark, sf):
 
 @query("""
 SELECT usr, qualified, row_number() OVER (ORDER BY length(qualified), qualified, usr) AS rank FROM v_sym
-WHERE in_project AND (lower(name) LIKE '%part%' OR lower(qualified) LIKE '%part%') ORDER BY rank LIMIT 20""")
+WHERE in_project AND (lower(name) LIKE '%plate%' OR lower(qualified) LIKE '%plate%') ORDER BY rank LIMIT 20""")
 def search_names(spark, sf):
     (symbols,) = load(spark, sf, "v_sym")
-    top = resolve.search(symbols, "PaRt").select("usr", "qualified", "name").orderBy(*resolve.search_order()).limit(20)
+    top = resolve.search(symbols, "PLate").select("usr", "qualified", "name").orderBy(*resolve.search_order()).limit(20)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*resolve.search_order())).cast("long")).drop("name")
 
 

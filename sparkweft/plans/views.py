@@ -29,8 +29,9 @@ SELECT p_partkey AS usr, p_name AS name, concat(p_brand, '::', p_name) AS qualif
     "v_edge": """
 SELECT * FROM (
   SELECT l_orderkey AS tu_id,
-    CASE (l_partkey + l_linenumber) % 10 WHEN 4 THEN 'references' WHEN 5 THEN 'inherits' WHEN 6 THEN 'overrides'
-      WHEN 7 THEN 'instantiates' WHEN 8 THEN 'param_type' WHEN 9 THEN 'calls_indirect' ELSE 'calls' END AS kind,
+    CASE WHEN (l_partkey + l_linenumber) % 10 IN (5, 6) AND l_suppkey % 5 > 0 THEN 'calls' ELSE
+      CASE (l_partkey + l_linenumber) % 10 WHEN 4 THEN 'references' WHEN 5 THEN 'inherits' WHEN 6 THEN 'overrides'
+      WHEN 7 THEN 'instantiates' WHEN 8 THEN 'param_type' WHEN 9 THEN 'calls_indirect' ELSE 'calls' END END AS kind,
     l_partkey AS src,
     lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst,
     l_suppkey AS file_id, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS weight,
@@ -83,8 +84,10 @@ def with_views(sql: str) -> str:
     """The SQL with the views that it names as common table expressions."""
     ctes = [f"{v} AS ({VIEWS[v].format(**{t: t for t in TABLES})})" for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     body = sql.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {', '.join(ctes)}, {body[len('WITH RECURSIVE') :]}"
     if body.upper().startswith("WITH"):
         return f"WITH {', '.join(ctes)}, {body[4:]}"
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    return f"WITH {', '.join(ctes)} {body}"
