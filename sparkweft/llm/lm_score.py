@@ -33,7 +33,7 @@ from sparkweft.llm.common import ship
 
 VOCABULARY, STRENGTH = 1 << 20, 200.0
 #: Documents and bytes that share a block of keys; document numbers in a block take 16 bits.
-BLOCK_DOCS, BLOCK_BYTES = 8192, 24 << 20
+BLOCK_DOCS, BLOCK_BYTES = 8192, 12 << 20
 START = 0x5851F42D4C957F2D
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else (32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c) for c in range(256))
 _SENT = "bucket int, block long, target boolean, keys binary, per_key binary, docs binary, counts binary, ids array<{id}>, tokens binary"
@@ -56,15 +56,21 @@ def ngrams(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before & ~np.uint64(1), pair | np.uint64(1)
 
 
-def _block(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys, how many (document, count) pairs each has, and those pairs."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _block(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of documents as hashes of words: sorted distinct keys, how many (document, count) pairs each has, and those pairs."""
     sizes = np.array([len(t) for t in texts])
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for t in texts for w in t), np.uint64, sizes.sum())
+    hashes = np.concatenate(texts)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)
     context, pair = ngrams(hashes, sizes)
     keys, docs = np.concatenate([context, pair]), np.concatenate([owner, owner])
+    del hashes, owner, context, pair
     order = np.argsort(keys, kind="stable")  # owners ascend within a key
     keys, docs = keys[order], docs[order]
+    del order
     new_key = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
     new_pair = new_key.copy()
     new_pair[1:] |= docs[1:] != docs[:-1]
@@ -78,7 +84,7 @@ def _send(buckets: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part = 0, TaskContext.get().partitionId()
         ids: list = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
         size = 0
 
         def flush(target: bool) -> pa.RecordBatch:
@@ -106,7 +112,7 @@ def _send(buckets: int, schema: pa.Schema):
                     yield flush(last)
                 last = target
                 ids.append(doc)
-                texts.append(words_of(text.as_py()))
+                texts.append(hashed(words_of(text.as_py())))
                 size += len(text.as_py() or "")
         if texts:
             yield flush(last)
