@@ -9,7 +9,7 @@ parts of a bounded number of turns.
 Conversations are handled in blocks of turns, so a conversation with a large share of all rows
 spreads over tasks. Two independent 64-bit hashes are used together.
 
-Defined cases: turns are ordered by turn, role, text (nulls first), and repeated turns are kept; a null role
+Defined cases: turns are ordered by turn, role (nulls first), then a hash of both texts, and repeated turns are kept; a null role
 renders as "unknown" and a null text as an empty one, both unlike the words themselves for
 matching; rows of a null conv_id are one conversation, the last in order; an empty table gives no
 rows; only the four named columns are read. A turn-delimiter inside a text is broken by a space.
@@ -26,29 +26,45 @@ BLOCK, PART = 256, 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 _HASHES = ("__h1", "__h2")
+#: A conversation's key without nulls, then its block.
+_CONV, _KEY = ("__id", "__none"), ("__id", "__none", "__block")
 
 
-def _placed(conversations: DataFrame) -> DataFrame:
-    """Every turn with its position in its conversation, from 1, and its prefix hashes."""
-    key = ["conv_id", "__block"]
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("__block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    within = Window.partitionBy(*key).orderBy(*order)
-    rolling = within.rowsBetween(Window.unboundedPreceding, 0)
-    # offsets of blocks: one row a block, so 1/256 of a long conversation
-    blocks = turns.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("conv_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(F.col("conv_id").alias("__c"), F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b"))
-    placed = turns.withColumn("__rn", F.row_number().over(within)).join(offsets, same).drop("__c", "__b")
-    placed = placed.withColumn("pos", F.col("__rn") + F.col("__before"))
-    shown = [F.col("pos"), F.col("role").isNull(), F.col("text").isNull(), F.col("role"), F.col("text")]
-    placed = placed.withColumns({"__e1": F.xxhash64(*shown), "__e2": F.xxhash64(F.lit("second"), *shown)})
-    placed = placed.withColumns({h: F.bit_xor(e).over(rolling) for h, e in zip(_HASHES, ("__e1", "__e2"))})
-    totals = placed.groupBy(*key).agg(*(F.bit_xor(e).alias(e) for e in ("__e1", "__e2")))
-    carried = totals.select(F.col("conv_id").alias("__c"), F.col("__block").alias("__b"), *(F.coalesce(F.bit_xor(e).over(before), F.lit(0)).alias(f"{e}_before") for e in ("__e1", "__e2")))
-    placed = placed.drop("__e1", "__e2").join(carried, same)
-    return placed.select("conv_id", "pos", "role", "text", *(F.col(h).bitwiseXOR(F.col(f"{e}_before")).alias(h) for h, e in zip(_HASHES, ("__e1", "__e2"))))
+def _keyed(conversations: DataFrame) -> DataFrame:
+    id_type = conversations.schema["conv_id"].dataType
+    empty = F.lit("" if id_type.simpleString() == "string" else 0).cast(id_type)
+    shown = [F.col("role").isNull(), F.col("text").isNull(), F.col("role"), F.col("text")]
+    return conversations.select(
+        F.coalesce("conv_id", empty).alias("__id"), F.col("conv_id").isNull().alias("__none"),
+        F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).alias("__block"),
+        "conv_id", "turn", "role", "text", F.xxhash64(*shown).alias("__e1"), F.xxhash64(F.lit("second"), *shown).alias("__e2"),
+    )
+
+
+def _within() -> Window:
+    return Window.partitionBy(*_KEY).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "__e1")
+
+
+def _blocks(turns: DataFrame) -> DataFrame:
+    """A row for each block of a conversation: the turns before it, and the conversation's turns."""
+    counted = turns.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*_CONV)
+    before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*_KEY, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("n_turns"))
+
+
+def _placed(turns: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every turn, without its text, with its position from 1 and the hashes of the conversation up to it."""
+    slim = turns.select(*_KEY, "conv_id", "turn", "role", "__e1", "__e2").withColumn("__rn", F.row_number().over(_within()))
+    placed = slim.join(blocks, list(_KEY)).withColumn("pos", F.col("__rn") + F.col("__before"))
+    placed = placed.withColumns({e: F.xxhash64("pos", e) for e in ("__e1", "__e2")})
+    rolling = Window.partitionBy(*_KEY).orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*_CONV).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*_KEY).agg(*(F.bit_xor(e).alias(e) for e in ("__e1", "__e2")))
+    carried = totals.select(*_KEY, *(F.coalesce(F.bit_xor(e).over(before), F.lit(0)).alias(f"{e}_before") for e in ("__e1", "__e2")))
+    rolled = placed.withColumns({h: F.bit_xor(e).over(rolling) for h, e in zip(_HASHES, ("__e1", "__e2"))}).drop("__e1", "__e2")
+    hashes = [F.col(h).bitwiseXOR(F.col(f"{e}_before")).alias(h) for h, e in zip(_HASHES, ("__e1", "__e2"))]
+    return rolled.join(carried, list(_KEY)).select("conv_id", "pos", "n_turns", *hashes)
 
 
 def _broken(text: Column) -> Column:
@@ -57,21 +73,27 @@ def _broken(text: Column) -> Column:
 
 def maximal(placed: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of the conversations that no longer one begins with."""
-    slim = placed.select("conv_id", "pos", *_HASHES)
-    sizes = slim.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
-    sized = slim.join(sizes.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c")))
-    whole = sized.where("pos = n_turns")
-    inner = sized.where("pos < n_turns").select(F.col("pos").alias("n_turns"), *_HASHES).distinct()
+    whole = placed.where("pos = n_turns")
+    inner = placed.where("pos < n_turns").select(F.col("pos").alias("n_turns"), *_HASHES).distinct()
     left = whole.join(inner, ["n_turns", *_HASHES], "left_anti")
     return left.groupBy("n_turns", *_HASHES).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")).select("conv_id", "n_turns", "n_copies")
 
 
-def collapse_and_render(conversations: DataFrame, *, part_turns: int = PART) -> DataFrame:
-    """One row a part of a maximal conversation: conv_id, part, n_turns, n_copies, rendered."""
-    placed = _placed(conversations)
-    kept = maximal(placed).withColumnRenamed("conv_id", "__c")
+def collapse_and_render(conversations: DataFrame) -> DataFrame:
+    """One row a part of a maximal conversation: conv_id, part, n_turns, n_copies, rendered.
+
+    Texts are exchanged once, and only those of conversations that stay.
+    """
+    turns = _keyed(conversations)
+    blocks = _blocks(turns)
+    kept = maximal(_placed(turns, blocks))
+    id_type = conversations.schema["conv_id"].dataType
+    empty = F.lit("" if id_type.simpleString() == "string" else 0).cast(id_type)
+    kept = kept.select(F.coalesce("conv_id", empty).alias("__id"), F.col("conv_id").isNull().alias("__none"), "n_turns", "n_copies")
+    shown = blocks.select(*_KEY).join(kept, list(_CONV))
     piece = F.concat(F.lit(OPEN), _broken(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), _broken(F.coalesce("text", F.lit(""))), F.lit(CLOSE + "\n"))
-    turns = placed.select("conv_id", "pos", piece.alias("__piece"), F.floor((F.col("pos") - 1) / part_turns).alias("part"))
-    turns = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("__c")))
-    parts = turns.groupBy("conv_id", "part", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("pos", "__piece"))).alias("__turns"))
+    found = turns.join(shown, list(_KEY)).withColumn("__rn", F.row_number().over(_within()))
+    # parts do not cross blocks, so they are grouped where their turns are
+    found = found.select(*_KEY, "conv_id", "n_turns", "n_copies", "__rn", piece.alias("__piece"), (F.col("__block") * (BLOCK // PART) + F.floor((F.col("__rn") - 1) / PART)).alias("part"))
+    parts = found.groupBy(*_KEY, "conv_id", "part", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("__rn", "__piece"))).alias("__turns"))
     return parts.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.col("__turns.__piece"), "").alias("rendered"))
