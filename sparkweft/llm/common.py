@@ -62,17 +62,20 @@ def rows_with(documents: DataFrame, id_col: str, text_col: str, held: Column) ->
 def sampled_ids(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> list:
     """Ids of at most ``per_class`` rows of each class, first by a hash of the id.
 
-    The sample's bound is ``per_class`` times the number of classes; the ranking keeps only that
-    many rows of each class in every task before anything is exchanged.
+    The sample's bound is ``per_class`` times the number of classes. Rows are thinned by their
+    hash before they are ranked, so what is exchanged has that bound too, however many tasks there are.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(class_col).orderBy("__h", id_col)
-    ranked = (
-        rows.select(id_col, class_col)
-        .where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-        .withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
-        .withColumn("__r", F.row_number().over(w))
-        .where(F.col("__r") <= per_class)
+    known = rows.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
+    # one row a class: languages or labels
+    sizes = known.groupBy(F.col(class_col).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.pmod(F.col("__h"), F.lit(1 << 40)) / float(1 << 40)
+    thinned = (
+        known.withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
+        .join(sizes, F.col(class_col) == F.col("__class"))
+        .where(share <= (2 * per_class + 100) / F.col("__n"))
     )
+    w = Window.partitionBy(class_col).orderBy(share, id_col)
+    ranked = thinned.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class)
     return sorted((r[0], r[1]) for r in ranked.select(id_col, class_col).distinct().collect())
