@@ -6,7 +6,7 @@ each direction, attention pools the states, and a logistic layer scores the wind
 score is that of its highest window, over all windows of the whole text.
 
 The network is trained here, in numpy, on windows of a bounded sample: at most ``per_label``
-labelled texts of each label and ``windows_per_text`` windows a text. A label belongs to a text,
+labelled texts of each label and ``windows_per_text`` windows a text (six times as many of the texts that set the offset). A label belongs to a text,
 not to a window, so training runs in two rounds: the second drops the windows of toxic texts that
 the first finds no worse than nearly all clean windows.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,14 @@ WORD, CHAR, STATE = 12, 8, 8
 GRAM_BITS = 18
 #: The sample's bounds, documented parameters of the fit.
 PER_LABEL, WINDOWS_PER_TEXT = 1000, 24
-#: Words and four-grams that get a vector: those in this share of the sampled texts, and in so many, at least.
-LEAST_SHARE, LEAST_TEXTS = 0.02, 3
+#: Windows of a text are sampled so many times over, for the texts that set the offset.
+ASIDE = 6
+#: Words and four-grams that get a vector: those in this share of the sampled texts of one label, and in so many, at least.
+LEAST_SHARE, LEAST_TEXTS = 0.03, 3
 #: A toxic text's window goes to the second round if it scores above this share of clean windows.
 CLEAN = 0.98
+#: Windows that a round of training goes through, repeats counted.
+STEPS = 60_000
 #: Share of words that training takes for unknown, and the decay of weights.
 DROPPED, DECAY = 0.1, 1e-4
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else (32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c) for c in range(256))
@@ -247,32 +252,46 @@ def _tops(network: Recurrent, docs: list, parts: list[list[bytes]]) -> tuple[np.
     return scores, best
 
 
-def fit(windows: list[tuple], label: dict) -> Recurrent | None:
-    """windows: (doc, words joined by spaces); label: 0 or 1 by doc.
+def _frequent(items: list[tuple], label: dict) -> list:
+    """What is in LEAST_SHARE of the texts of one label at least; items: (text, its parts)."""
+    out: set = set()
+    for value in (0, 1):
+        held = {(d, x) for d, own in items if label[d] == value for x in own}
+        least = max(LEAST_TEXTS, LEAST_SHARE * len({d for d, _ in items if label[d] == value}))
+        out.update(x for x, n in Counter(x for _, x in held).items() if n >= least)
+    return sorted(out)
 
-    Every fourth text of each label is kept from the rounds of training and sets the offset.
+
+def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recurrent | None:
+    """windows: (doc, words joined by spaces); label: 0 or 1 by doc; most: windows of a text to train on.
+
+    Every fourth text of each label is kept from the rounds of training and sets the offset, with
+    all the windows that there are of it, as a text's highest window depends on their number.
     """
     order = sorted(label, key=lambda d: (label[d], str(d)))
     aside = set(order[::4])
-    trained = [(d, w.split()) for d, w in windows if d not in aside]
+    trained, taken = [], Counter()
+    for d, w in sorted(windows, key=lambda r: (str(r[0]), crc32(r[1]))):
+        taken[d] += 1
+        if d not in aside and taken[d] <= most:
+            trained.append((d, w.split()))
     if len({label[d] for d, _ in trained}) < 2:
         return None
     docs, parts = [d for d, _ in trained], [p for _, p in trained]
-    texts = Counter(w for _, w in {(d, w) for d, p in trained for w in p})
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(set(docs)))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in texts.items() if n >= least))}
-    hashes = Counter(h for _, h in {(d, h) for d, p in zip(docs, parts) for h in grams_of(p)[0].tolist()})
-    grams = np.array(sorted(h for h, n in hashes.items() if n >= least), np.int64)
+    vocabulary = {w: i + 1 for i, w in enumerate(_frequent([(d, p) for d, p in zip(docs, parts)], label))}
+    grams = np.array(_frequent([(d, grams_of(p)[0].tolist()) for d, p in zip(docs, parts)], label), np.int64)
     y = np.array([label[d] for d in docs])
     first = Recurrent(vocabulary, grams)
-    first.fit(parts, y, 2)
+    # small samples are gone through more often, so that every fit takes a similar number of steps
+    epochs = min(8, max(2, round(STEPS / max(1, len(parts)))))
+    first.fit(parts, y, epochs)
     scores, best = _tops(first, docs, parts)
     clean = y == 0
     keep = clean | (scores > np.quantile(scores[clean], CLEAN))
     if not keep[~clean].any():
         keep |= scores == np.array([best[d] for d in docs])
     second = Recurrent(vocabulary, grams, seed=12)
-    second.fit([p for p, k in zip(parts, keep) if k], y[keep], 3)
+    second.fit([p for p, k in zip(parts, keep) if k], y[keep], epochs + 1)
     # the highest of many windows is high by chance too, so texts kept aside set where 0.5 is
     _, best = _tops(second, *map(list, zip(*[(d, w.split()) for d, w in windows if d in aside])))
     ranked = sorted((s, label[d]) for d, s in best.items())
@@ -341,8 +360,8 @@ def score(
     kind = read.schema["doc_id"].dataType.simpleString()
     if chosen:
         rows = read.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")
-        found = rows.mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, words binary").collect()
-        network = fit(sorted((r[0], bytes(r[1])) for r in found), chosen)
+        found = rows.mapInArrow(_sample_windows(ASIDE * windows_per_text), f"doc_id {kind}, words binary").collect()
+        network = fit(sorted((r[0], bytes(r[1])) for r in found), chosen, windows_per_text)
     rows = read.select("doc_id", "text", "held_out")
     out = f"doc_id {kind}, held_out boolean, score double, predicted int"
     if carry:
