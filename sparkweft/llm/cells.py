@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.llm.common import durable
+
 #: Pairs compared at once.
 CHUNK = 1_000_000
+#: Crowded cells that are broadcast, counted before.
+BROADCAST_CELLS = 100_000
 
 
 def spread(rows: DataFrame, point: Column, block: int) -> DataFrame:
@@ -25,18 +29,24 @@ def spread(rows: DataFrame, point: Column, block: int) -> DataFrame:
     Cells of more than ``block`` own points are few: at most one for so many points. Base rows (query false) are
     held by their task, query rows are compared with them.
     """
-    crowded = (
+    crowded = durable(
         rows.where("role = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
         .select(F.col("cell").alias("__cell"), F.ceil(F.col("__n") / block).cast("int").alias("__blocks"))
     )
+    found = crowded.count()
+    if not found:
+        dealt = rows.withColumn("__blocks", F.lit(1))
+    else:
+        # two numbers a row; the hint only where the count bounds it
+        dealt = rows.join(F.broadcast(crowded) if found <= BROADCAST_CELLS else crowded, F.col("cell") == F.col("__cell"), "left").drop("__cell")
     own = F.pmod(F.xxhash64(point), F.coalesce("__blocks", F.lit(1))).cast("int")
     pair = lambda base, query, asks: F.struct(base.alias("base_block"), query.alias("query_block"), asks.alias("query"))
     blocks = F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1)
     mine = F.col("__own")
     bases = F.when(F.col("role") == 0, F.transform(blocks, lambda x: pair(mine, x, F.lit(False)))).otherwise(F.array().cast("array<struct<base_block:int,query_block:int,query:boolean>>"))
     asking = F.transform(F.filter(blocks, lambda x: (F.col("role") == 1) | (x < mine)), lambda x: pair(x, mine, F.lit(True)))
-    dealt = rows.join(crowded, F.col("cell") == F.col("__cell"), "left").withColumn("__own", own)
-    dealt = dealt.withColumn("__task", F.explode(F.concat(bases, asking))).select("*", "__task.*").drop("__task", "__own", "__cell", "__blocks")
+    dealt = dealt.withColumn("__own", own)
+    dealt = dealt.withColumn("__task", F.explode(F.concat(bases, asking))).select("*", "__task.*").drop("__task", "__own", "__blocks")
     return dealt.repartition("cell", "base_block", "query_block").sortWithinPartitions("cell", "base_block", "query_block", "query")
 
 
