@@ -174,7 +174,7 @@ def test_all_questions_are_there():
 def test_questions_about_symbols(index):
     ask = lambda name, **a: tools.call(index, name, a)
     assert ask("get_index_status")["accuracy"] == "exact"
-    assert ask("find_symbol", reference="GO")["match_count"] == 2
+    assert ask("find_symbol", reference="G")["match_count"] == 2
     got = ask("get_symbol", symbol="main")
     assert (got["callers"], got["callees"], got["location"]) == (1, 0, "src/main.cpp:3") and got["properties"] == {"static": True}
     assert ask("get_function", symbol="main")["callers"] == 1
@@ -192,14 +192,14 @@ def test_questions_about_files_and_changes(index):
     ask = lambda name, **a: tools.call(index, name, a)
     assert ask("get_file", path="main.cpp")["languages"] == ["c++"] and ask("get_file_symbols", path="src/main.cpp")["symbol_count"] == 2
     assert ask("get_includes", path="main.cpp")["includes"][0]["path"] == "include/a.h" and ask("get_file_dependencies", path="a.h")["included_by_count"] == 1
-    assert ask("get_diagnostics")["diagnostics"][0]["location"] == "include/a.h"
+    assert ask("get_diagnostics")["diagnostics"][0]["location"] == "include/a.h:2"
     changed = ask("get_changed_symbols", include_impact="yes")
     assert changed["changed_symbols"][0]["symbol"] == "main" and changed["changed_symbols"][0]["lines"] == "5" and changed["affected"]["direct"][0]["symbol"] == "go"
     assert {f["path"] for f in changed["files"]} >= {"src/main.cpp", "new.cpp"}
 
 
 def test_wrong_questions_say_why(index):
-    assert "candidates" in json.loads(tools.answer(index, "get_symbol", {"symbol": "GO"}))
+    assert "candidates" in json.loads(tools.answer(index, "get_symbol", {"symbol": "G"}))
     assert json.loads(tools.answer(index, "get_symbol", {"symbol": "nothing"}))["error"].startswith("no symbol") and "required" in json.loads(tools.answer(index, "get_symbol"))["error"]
     assert json.loads(tools.answer(index, "get_class", {"symbol": "main"}))["kind"] == "function" and "known" in json.loads(tools.answer(index, "what"))
 
