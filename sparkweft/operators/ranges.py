@@ -9,7 +9,7 @@ from sparkweft import model
 from sparkweft.functions import expr
 
 #: Lines of a bucket of the overlap join: a span and a range meet in the buckets that both touch.
-BUCKET = 256
+BUCKET = 32
 
 
 def spans(symbols: DataFrame) -> DataFrame:
@@ -46,12 +46,16 @@ def innermost(ranges: DataFrame, found: DataFrame, containers: tuple[str, ...] =
     Adds is_container; ranges that meet nothing are not in the result.
     """
     inside = F.col("kind").isin(*containers)
-    order = Window.partitionBy("range_id").orderBy(
-        F.when(inside, 0).otherwise(1), F.when(inside, F.col("end") - F.col("start")).otherwise(F.col("start")), F.when(~inside, F.col("end")),
-        F.col("kind").asc_nulls_first(), F.col("name").asc_nulls_first(), "usr", "start",
-    )
     hits = overlaps(ranges, found).withColumn("is_container", F.coalesce(inside, F.lit(False)))
-    return hits.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    order = F.struct(
+        F.when(F.col("is_container"), 0).otherwise(1).alias("a"),
+        F.when(F.col("is_container"), F.col("end") - F.col("start")).otherwise(F.col("start")).alias("b"),
+        F.when(~F.col("is_container"), F.col("end")).alias("c"),
+        F.col("kind").alias("d"), F.col("name").alias("e"), F.col("usr").alias("f"), F.col("start").alias("g"),
+    )
+    # the least hit is a partial aggregate: hits are neither exchanged nor sorted
+    rest = [c for c in hits.columns if c != "range_id"]
+    return hits.groupBy("range_id").agg(F.min_by(F.struct(*rest), order).alias("__hit")).select("range_id", "__hit.*")
 
 
 def unattributed(ranges: DataFrame, found: DataFrame) -> DataFrame:
