@@ -34,7 +34,7 @@ def resolution(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFr
     places = files.select(F.col("file_id").alias("__f"), F.col("in_project").alias("__inside"))
     joined = edges.join(ends, "dst", "left").join(places, "__f", "left")
     bucket = (
-        F.when(F.col("__known").isNull(), "unknown").when(F.col("stub").cast("int") == 1, "stub").when(F.col("__f").isNull(), "synthetic")
+        F.when(F.col("__known").isNull(), "unknown").when(F.col("stub").cast("int") == 1, "stub").when(F.col("__inside").isNull(), "synthetic")
         .when(F.col("__inside"), "project").otherwise("outside")
     )
     return joined.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("edges"))
