@@ -40,8 +40,9 @@ SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 class PieceEncoder:
     """Byte-level BPE ids as little-endian uint32 bytes.
 
-    The rank file holds the vocabulary and merges of the JSON file, whose only added token is
-    ``<|endoftext|>``; ids are the same and come several times faster.
+    The rank file holds the vocabulary and merges of the JSON file beside it, whose only added token is
+    ``<|endoftext|>``; ids are the same and come several times faster. A text on which the encoder of
+    the rank file panics (its regex gives up on about a million white-space characters in a row) is encoded by the JSON file.
     """
 
     def __init__(self, ranks_path: str):
@@ -51,7 +52,19 @@ class PieceEncoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ids = own.encode_ordinary
+        self._fast, self._json, self._whole = own.encode_ordinary, ranks_path.removesuffix(".tiktoken") + ".json", None
+
+    def _ids(self, text: str) -> list[int]:
+        try:
+            return self._fast(text)
+        except BaseException as e:  # a panic is not an Exception, and its class cannot be imported
+            if type(e).__name__ != "PanicException":
+                raise
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._json)
+        return self._whole.encode(text, add_special_tokens=False).ids
 
     def _part(self, text: str) -> bytes:
         ids = array("I", self._ids(text))
@@ -186,7 +199,10 @@ def pack(
     open_windows: int = OPEN,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    The vocabulary's JSON file stands beside the rank file, under the same name.
+    """
     spark = documents.sparkSession
     ship(spark)
     kept = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -71,6 +71,12 @@ def test_packing_of_odd_texts(spark):
     assert packing.pack(df.limit(0), tokenizer("byte_bpe_50k.tiktoken")).collect() == []
 
 
+def test_packing_of_very_long_white_space(spark):
+    docs = [(1, "one two"), (2, " " * 2_000_000), (3, "a" + "\n" * 1_200_000 + "<|endoftext|> b"), (4, "three")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    check_packing(packing.pack(df, tokenizer("byte_bpe_50k.tiktoken")).collect(), docs)
+
+
 def test_open_windows_are_bounded():
     cut = lambda p, n: (("a", *p), ("b", *p))
     windows, rng, total, out = packing.OpenWindows(100, 4), random.Random(1), 0, []
