@@ -6,8 +6,8 @@ each direction, attention pools the states, and a logistic layer scores the wind
 score is that of its highest window, over all windows of the whole text.
 
 The network is trained here, in numpy, on windows of a bounded sample: at most ``per_label``
-labelled texts of each label and ``windows_per_text`` windows a text (six times as many of the texts that set the offset). A label belongs to a text,
-not to a window, so training runs in two rounds: the second drops the windows of toxic texts that
+labelled texts of each label and ``windows_per_text`` windows a text; the texts among them that set
+the offset are scored over all of their windows. A label belongs to a text, not to a window, so training runs in two rounds: the second drops the windows of toxic texts that
 the first finds no worse than nearly all clean windows.
 
 Defined cases: a text that is null or has no word scores as one empty window; without learnable
@@ -35,8 +35,8 @@ WORD, CHAR, STATE = 12, 8, 8
 GRAM_BITS = 18
 #: The sample's bounds, documented parameters of the fit.
 PER_LABEL, WINDOWS_PER_TEXT = 1000, 24
-#: Windows of a text are sampled so many times over, for the texts that set the offset.
-ASIDE = 6
+#: Of the sampled texts of each label, one in so many is kept from training and sets the offset.
+ASIDE = 4
 #: Words and four-grams that get a vector: those in this share of the sampled texts of one label, and in so many, at least.
 LEAST_SHARE, LEAST_TEXTS = 0.03, 3
 #: A toxic text's window goes to the second round if it scores above this share of clean windows.
@@ -262,18 +262,17 @@ def _frequent(items: list[tuple], label: dict) -> list:
     return sorted(out)
 
 
-def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recurrent | None:
-    """windows: (doc, words joined by spaces); label: 0 or 1 by doc; most: windows of a text to train on.
+def kept_aside(label: dict) -> set:
+    """Every fourth text of each label."""
+    return set(sorted(label, key=lambda d: (label[d], str(d)))[::ASIDE])
 
-    Every fourth text of each label is kept from the rounds of training and sets the offset, with
-    all the windows that there are of it, as a text's highest window depends on their number.
-    """
-    order = sorted(label, key=lambda d: (label[d], str(d)))
-    aside = set(order[::4])
+
+def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recurrent | None:
+    """windows: (doc, words joined by spaces); label: 0 or 1 by doc; most: windows of a text to train on. The offset is left at 0."""
     trained, taken = [], Counter()
     for d, w in sorted(windows, key=lambda r: (str(r[0]), crc32(r[1]))):
         taken[d] += 1
-        if d not in aside and taken[d] <= most:
+        if taken[d] <= most:
             trained.append((d, w.split()))
     if len({label[d] for d, _ in trained}) < 2:
         return None
@@ -292,8 +291,17 @@ def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recu
         keep |= scores == np.array([best[d] for d in docs])
     second = Recurrent(vocabulary, grams, seed=12)
     second.fit([p for p, k in zip(parts, keep) if k], y[keep], epochs + 1)
-    # the highest of many windows is high by chance too, so texts kept aside set where 0.5 is
-    _, best = _tops(second, *map(list, zip(*[(d, w.split()) for d, w in windows if d in aside])))
+    return second
+
+
+def offset_of(tops: list[tuple], label: dict) -> float:
+    """Where 0.5 is; tops: (doc, the highest logit of all of its windows) of texts that were not trained on.
+
+    The highest of many windows is high by chance too, so it must be of as many as scoring takes.
+    """
+    best: dict = {}
+    for d, s in tops:
+        best[d] = max(best.get(d, -1e9), s)
     ranked = sorted((s, label[d]) for d, s in best.items())
     s, t = np.array([r[0] for r in ranked]), np.array([r[1] for r in ranked])
     missed = np.concatenate([[0], np.cumsum(t)]) / max(1, t.sum())
@@ -301,34 +309,39 @@ def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recu
     costs = missed + 5 * wrong  # most texts are clean, so a share of them weighs more
     good = np.flatnonzero(costs <= costs.min() + 1e-9)
     low, high = s[max(0, good[0] - 1)], s[min(len(s) - 1, good[-1])]
-    second.offset = float((low + high) / 2)
-    return second
+    return float((low + high) / 2)
+
+
+def _highest(network: Recurrent, column: pa.Array) -> np.ndarray:
+    """Each text's highest logit, over all of its windows."""
+    out: list = []
+    held: list[list[bytes]] = []
+    size = 0
+    for i in range(len(column)):
+        held.append(words_of(column[i].as_py()))
+        size += len(held[-1])
+        if size > 20_000 or i == len(column) - 1:
+            out.extend(x.max() for x in network.logits(held))
+            held, size = [], 0
+    return np.array(out, np.float32)
+
+
+def _text_tops(network: Recurrent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(_highest(network, batch.column(1)), pa.float64())], names=["doc_id", "top"])
+
+    return run
 
 
 def _scores(network: Recurrent | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, out = batch.column(1), []
-            held: list[list[bytes]] = []
-            size = 0
-
-            def score() -> None:
-                best = np.array([x.max() for x in network.logits(held)]) - network.offset
-                out.extend(sigmoid(best.astype(np.float64)).tolist())
-                held.clear()
-
-            for i in range(len(column)):
-                if network is None:
-                    out.append(0.0)
-                    continue
-                held.append(words_of(column[i].as_py()))
-                size += len(held[-1])
-                if size > 20_000:
-                    score()
-                    size = 0
-            if held:
-                score()
-            found = np.round(np.array(out, np.float64), 6)
+            if network is None:
+                out = np.zeros(batch.num_rows)
+            else:
+                out = sigmoid((_highest(network, batch.column(1)) - network.offset).astype(np.float64))
+            found = np.round(out, 6)
             scored = [batch.column(0), batch.column(2), pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
             yield pa.record_batch([*scored, *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
 
@@ -359,9 +372,13 @@ def score(
     network = None
     kind = read.schema["doc_id"].dataType.simpleString()
     if chosen:
-        rows = read.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")
-        found = rows.mapInArrow(_sample_windows(ASIDE * windows_per_text), f"doc_id {kind}, words binary").collect()
+        aside = kept_aside(chosen)
+        rows_of = lambda ids: read.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text")
+        found = rows_of(chosen.keys() - aside).mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, words binary").collect()
         network = fit(sorted((r[0], bytes(r[1])) for r in found), chosen, windows_per_text)
+        if network is not None:
+            tops = rows_of(aside).mapInArrow(_text_tops(network), f"doc_id {kind}, top double").collect()
+            network.offset = offset_of([(r[0], r[1]) for r in tops], chosen)
     rows = read.select("doc_id", "text", "held_out")
     out = f"doc_id {kind}, held_out boolean, score double, predicted int"
     if carry:

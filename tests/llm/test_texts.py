@@ -263,6 +263,35 @@ def test_toxicity_is_learned(spark):
     assert s[y == 1].mean() > 0.75 and s[y == 0].mean() < 0.05
 
 
+def test_toxicity_threshold_heeds_all_windows_of_long_texts(spark):
+    rng = random.Random(3)
+    calm, foul = [f"calm{chr(97 + i)}" for i in range(20)], [f"vile{chr(97 + i)}" for i in range(12)]
+
+    def plain(n, words):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice([w for w in words if w != out[-1]]))
+        return out
+
+    odd = plain(48, calm)
+    odd[16:28] = foul  # in both of the windows that hold it
+    odd[0], odd[-1] = "opens", "closes"  # no neighbour repeats, so no word is dropped
+    docs, labels = [], []
+    for i in range(80):
+        words = plain(4000 + 16 * i, calm)
+        starts = toxicity.window_starts(len(words))
+        order = np.random.default_rng(len(words)).permutation(len(starts)).tolist()
+        late = {starts[k] for k in order[6 * toxicity.WINDOWS_PER_TEXT :]}
+        at = next(s for s in sorted(late) if s and {s - 16, s + 16, s + 32} <= late)  # nowhere near the first windows of a sample
+        words[at : at + 48] = odd
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(plain(64, foul)))]
+        labels += [(2 * i, 0), (2 * i + 1, 1)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score(df, known).collect()}
+    assert sum(rows[d]["predicted"] for d, y in labels if y == 0) == 0
+    assert sum(rows[d]["predicted"] for d, y in labels if y == 1) == 80
+
+
 def test_toxicity_of_odd_texts(spark):
     df = odd(spark)
     labels = spark.createDataFrame([(1, 1, 9), (5, 0, 9), (6, 0, 9), (6, 1, 9), (None, 1, 9), (3, None, 9)], "doc_id long, toxic int, text int")
