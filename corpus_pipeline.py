@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm import langid, mixing, packing, simhash, toxicity
@@ -25,11 +25,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat an id the first by the text's hash, and all rows without an id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__first", F.row_number().over(first)).where("__first = 1")
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group: that with the smallest id, if any has one, then the first by the text's hash, then by the row's."""
+    key = F.concat(F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit("")))
+    keyed = docs.withColumn("__key", key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__key")).alias("first")
+    kept = simhash.near_duplicates(keyed, carry=["__key"]).groupBy("component").agg(first).select(F.col("first.__key").alias("__key"))
+    # rows of one key differ in other columns at most; a partial aggregate leaves one of them before the exchange
+    rows = keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return rows.join(kept, "__key", "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

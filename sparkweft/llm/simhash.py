@@ -17,7 +17,7 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,8 @@ def _fingerprints(width: int, seed: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0).cast(kind), pa.array(found.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            columns = [batch.column(0).cast(kind), pa.array(found.view(np.int64), pa.int64()), *batch.columns[2:]]
+            yield pa.record_batch(columns, names=["doc_id", "fp", *batch.schema.names[2:]])
 
     return run
 
@@ -106,21 +107,24 @@ def _linked(bits: int):
 
 
 def near_duplicates(
-    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id of every document; links are at most 3 bits."""
+    """doc_id, fingerprint (hexadecimal), component_id of every document; links are at most 3 bits.
+
+    With carry, then ``component``, which no two components share whatever their ids, and these columns of the document.
+    """
     ship(documents.sparkSession)
-    read = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
     kind = read.schema["doc_id"].dataType.simpleString()
     arrow = pa.string() if kind == "string" else pa.int64()
     kind = "string" if kind == "string" else "bigint"
-    hashed = durable(read.mapInArrow(_fingerprints(width, seed, arrow), f"doc_id {kind}, fp bigint"))
+    hashed = durable(read.mapInArrow(_fingerprints(width, seed, arrow), ", ".join([f"doc_id {kind}, fp bigint", *(f"{c} {read.schema[c].dataType.simpleString()}" for c in carry)])))
     least = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     dealt = spread(grid_rows(least.select("fp")), F.col("fp"), BLOCK)
     links = dealt.mapInArrow(_linked(BITS), "a bigint, b bigint")
     found = components(links)
     labelled = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
+    classes = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id", "component")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return hashed.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", text.alias("fingerprint"), "component_id")
+    return hashed.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", text.alias("fingerprint"), "component_id", *(["component", *carry] if carry else []))

@@ -36,5 +36,13 @@ def test_an_id_that_repeats_counts_once(spark):
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "None"]
 
 
+def test_each_group_keeps_one_row_whatever_the_ids(spark):
+    a, b, c = "a b c d e", "q r s t u v", "one two three four five"
+    texts = [(5, a), (5, b), (3, b.upper()), (None, a.upper()), (None, c), (None, c.upper()), (7, a), (8, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    found = pipeline.one_of_each_group(spark, df, SF).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in found) == [("3", b), ("5", a), ("8", ""), ("None", c)]
+
+
 def test_run_gives_packed_rows(spark):
     assert "sequence_id" in pipeline.run(spark, "/root/testdata/sf0.001").columns
