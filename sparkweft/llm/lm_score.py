@@ -1,7 +1,7 @@
 """Cross-entropy difference of documents between a target and a background language model.
 
 Both models are word bigrams with Dirichlet smoothing towards the uniform distribution over one
-shared vocabulary of V words: p(w | v) = (c(v, w) + strength / V) / (c(v) + strength). The background is all
+shared vocabulary of V words, a constant or all distinct words of both: p(w | v) = (c(v, w) + strength / V) / (c(v) + strength). The background is all
 documents, matched in size: its counts are scaled to the target's number of bytes, so nothing is
 sampled. A document's score is the mean over its words of target loss minus background loss, in
 nats; the lower, the closer to the target.
@@ -80,6 +80,18 @@ def _block(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return keys[at][firsts], np.diff(np.append(firsts, len(at))).astype(np.uint32), docs[at], counts
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of a task's words, each once a batch at most."""
+    for batch in batches:
+        words = {w for text in batch.column(0) for w in words_of(text.as_py())}
+        yield pa.record_batch([pa.array(hashed(list(words)).view(np.int64), pa.int64())], names=["word"])
+
+
+def vocabulary_size(texts: DataFrame) -> int:
+    """Distinct words of a column of texts, by 64 bits of their hash."""
+    return max(1, texts.mapInArrow(_distinct_words, "word bigint").distinct().count())
+
+
 def _send(buckets: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part = 0, TaskContext.get().partitionId()
@@ -172,11 +184,11 @@ def cross_entropy_difference(
     id_col: str = "doc_id",
     text_col: str = "text",
     target_text_col: str = "text",
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = VOCABULARY,
     strength: float = STRENGTH,
     buckets: int | None = None,
 ) -> DataFrame:
-    """doc_id, n_tokens, score of every whole text."""
+    """doc_id, n_tokens, score of every whole text; without ``vocabulary`` V is counted, which reads the texts once more."""
     spark = documents.sparkSession
     ship(spark)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,6 +203,7 @@ def cross_entropy_difference(
     back = pa.schema([("block", pa.int64()), ("docs", binary), ("sums", binary), ("ids", pa.list_(ids)), ("tokens", binary)])
     final = pa.schema([("doc_id", ids), ("n_tokens", pa.int64()), ("score", pa.float64())])
     both = read.withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(aims)
+    vocabulary = vocabulary or vocabulary_size(both.select("text"))
     counted = both.mapInArrow(_send(buckets, sent), _SENT.format(id=kind))
     sums = counted.groupBy("bucket").applyInArrow(_score(scale, vocabulary, strength, back), _BACK.format(id=kind))
     return sums.groupBy("block").applyInArrow(_gather(final), f"doc_id {kind}, n_tokens long, score double")

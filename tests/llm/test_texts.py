@@ -332,5 +332,12 @@ def test_cross_entropy_difference_matches_brute_force(spark, documents):
     assert len(lm_score.cross_entropy_difference(df, target.limit(0)).collect()) == len(docs)
 
 
+def test_vocabulary_of_the_query_is_that_of_both_tables(spark, documents):
+    target = spark.read.parquet(f"{SF}/benchmark.parquet")
+    v = len({w for df in (documents, target) for r in df.select("text").collect() for w in lm_score.words_of(r[0])})
+    want = lm_score.cross_entropy_difference(documents, target, vocabulary=v).collect()
+    assert sorted(QUERIES["op10_lm_score"](spark, SF).collect()) == sorted(want)
+
+
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
