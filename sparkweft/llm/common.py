@@ -38,6 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        alone = context.master == "local" or context.master.startswith("local[")  # one machine holds driver and executors
+        if not (named or alone):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkweft-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -60,22 +63,30 @@ def rows_with(documents: DataFrame, id_col: str, text_col: str, held: Column) ->
 
 
 def sampled_ids(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> list:
-    """Ids of at most ``per_class`` rows of each class, first by a hash of the id.
+    """(id, class) of at most ``per_class`` ids of each class, first by a hash of the id; an id of several classes counts for the least.
 
-    The sample's bound is ``per_class`` times the number of classes. Rows are thinned by their
-    hash before they are ranked, so what is exchanged has that bound too, however many tasks there are.
+    The sample's bound is ``per_class`` times the number of classes. Rows are thinned by their hash
+    inside the scan, against counts of ids by class, so what is exchanged has that bound too.
     """
     from pyspark.sql import Window
 
-    known = rows.select(id_col, class_col).where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-    # one row a class: languages or labels
-    sizes = known.groupBy(F.col(class_col).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.pmod(F.col("__h"), F.lit(1 << 40)) / float(1 << 40)
-    thinned = (
-        known.withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
-        .join(sizes, F.col(class_col) == F.col("__class"))
-        .where(share <= (2 * per_class + 100) / F.col("__n"))
-    )
-    w = Window.partitionBy(class_col).orderBy(share, id_col)
-    ranked = thinned.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class)
-    return sorted((r[0], r[1]) for r in ranked.select(id_col, class_col).distinct().collect())
+    known = rows.select(F.col(id_col).alias("id"), F.col(class_col).alias("class")).where("id is not null and class is not null")
+    sizes = known.groupBy("class").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language or label
+    if not sizes:
+        return []
+    kept = rows.sparkSession.createDataFrame([(r["class"], (2.0 * per_class + 100) / r["n"]) for r in sizes], f"__class {known.schema['class'].dataType.simpleString()}, __share double")
+    share = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    # the classes are those just counted, a row each
+    thinned = known.withColumn("__h", share).join(F.broadcast(kept), F.col("class") == F.col("__class")).where("__h <= __share")
+    once = thinned.groupBy("id").agg(F.min("class").alias("class"), F.min("__h").alias("__h"))
+    w = Window.partitionBy("class").orderBy("__h", "id")
+    ranked = once.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class)
+    return sorted((r[0], r[1]) for r in ranked.select("id", "class").collect())
+
+
+def texts_of(rows: DataFrame, ids: list) -> DataFrame:
+    """doc_id, text of a bounded sample of ids; of several texts of an id the greatest, so a repeated id brings one."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in ids], f"__id {kind}")
+    found = rows.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"), "left_semi")
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"))

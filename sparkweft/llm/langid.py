@@ -7,13 +7,12 @@ bounded sample of labelled texts: at most ``per_language`` texts a language and
 ``windows_per_text`` windows a text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a table without
-learnable rows gives ``und`` for all; repeated rows score alike; null ids pass through; an empty
+learnable rows gives ``und`` for all; repeated rows score alike, and a sampled id that repeats is learned from one of its texts; null ids pass through; an empty
 table gives no rows; only the id, text and language columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import remainder, rows_with, sampled_ids, ship
+from sparkweft.llm.common import remainder, rows_with, sampled_ids, ship, texts_of
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: The sample's bounds, documented parameters of the fit.
 PER_LANGUAGE, WINDOWS_PER_TEXT = 300, 6
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 STEP = WINDOW - max(WIDTHS) + 1
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter of some script; digits, fractions and circled numbers are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def windows(data: bytes) -> np.ndarray:
     """All windows of a text, each overlapping the last by a filter's width; the last is padded with zeros."""
     n = max(1, -(-(len(data) - WINDOW) // STEP) + 1)
@@ -126,7 +129,7 @@ def _sample_windows(bound: int):
         for batch in batches:
             ids, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or not _LETTER.search(text):
+                if not has_letter(text):
                     continue
                 data = text.encode("utf-8", "replace")
                 rng = np.random.default_rng(len(data))
@@ -149,8 +152,7 @@ def train(documents: DataFrame, per_language: int, windows_per_text: int) -> tup
     if not chosen:
         return [], None
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")
-    found = rows.mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, window binary").collect()
+    found = texts_of(documents, list(chosen)).mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, window binary").collect()
     found.sort(key=lambda r: (str(r[0]), bytes(r[1])))
     names = sorted(set(chosen.values()))
     if not found:
@@ -179,7 +181,7 @@ def _predictions(names: list[str], network: ByteNetwork | None):
                 held.clear()
 
             for i, text in enumerate(texts):
-                if network is None or not text or not _LETTER.search(text):
+                if network is None or not has_letter(text):
                     continue
                 held.append((i, windows(text.encode("utf-8", "replace"))))
                 size += len(held[-1][1])
