@@ -6,28 +6,26 @@ each direction, attention pools the states, and a logistic layer scores the wind
 score is that of its highest window, over all windows of the whole text.
 
 The network is trained here, in numpy, on windows of a bounded sample: at most ``per_label``
-labelled texts of each label and ``windows_per_text`` windows a text; the texts among them that set
-the offset are scored over all of their windows. A label belongs to a text, not to a window, so training runs in two rounds: the second drops the windows of toxic texts that
+labelled texts of each label and ``windows_per_text`` windows a text, by the same number of steps for
+samples of every size; the texts among them that set the offset are scored over all of their windows. A label belongs to a text, not to a window, so training runs in two rounds: the second drops the windows of toxic texts that
 the first finds no worse than nearly all clean windows.
 
 Defined cases: a text that is null or has no word scores as one empty window; without learnable
-rows every score is 0; repeated rows score alike; of several labels of an id the largest counts;
+rows every score is 0; repeated rows score alike; of several labels of an id the largest counts, and of several texts of a sampled id one is learned;
 null ids pass through (their labels are not looked up); an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, repeat
-from zlib import crc32
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import remainder, rows_with, sampled_ids, ship
+from sparkweft.llm.common import durable, remainder, rows_with, sampled_ids, ship, texts_of
 
 WINDOW, STRIDE = 32, 16
 WORD, CHAR, STATE = 12, 8, 8
@@ -37,20 +35,20 @@ GRAM_BITS = 18
 PER_LABEL, WINDOWS_PER_TEXT = 1000, 24
 #: Of the sampled texts of each label, one in so many is kept from training and sets the offset.
 ASIDE = 4
-#: Words and four-grams that get a vector: those in this share of the sampled texts of one label, and in so many, at least.
-LEAST_SHARE, LEAST_TEXTS = 0.03, 3
+#: Words and four-grams get a vector if they are in so many sampled texts of one label at least; rarer words share one vector.
+LEAST_TEXTS = 3
 #: A toxic text's window goes to the second round if it scores above this share of clean windows.
 CLEAN = 0.98
-#: Windows that a round of training goes through, repeats counted.
-STEPS = 60_000
+#: Steps of a round of training, and windows of a step; the same for samples of every size.
+STEPS, BATCH = 260, 256
 #: Share of words that training takes for unknown, and the decay of weights.
 DROPPED, DECAY = 0.1, 1e-4
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else (32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c) for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of ASCII letters and digits and of other characters; a word repeated at once counts once."""
-    return [w for w, _ in groupby((text or "").encode("utf-8", "replace").translate(_PARTS).split())]
+    """All lower-cased runs of ASCII letters and digits and of other characters."""
+    return (text or "").encode("utf-8", "replace").translate(_PARTS).split()
 
 
 def window_starts(n: int) -> list[int]:
@@ -170,35 +168,36 @@ class Recurrent:
             dx += dpre @ w["in" + side].T
         return g, dx
 
-    def fit(self, parts: list[list[bytes]], y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.006, seed: int = 5) -> None:
+    def fit(self, parts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = 0.006, seed: int = 5) -> None:
+        """parts: windows, their words joined by spaces. Every step takes the next windows of an endless row of shuffled passes."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-        self.m, self.v, t = {}, {}, 0
-        for _ in range(epochs):
-            order = rng.permutation(len(parts))
-            for i in range(0, len(order), batch):
-                t += 1
-                at = order[i : i + batch]
-                ids, grams, starts, place, mask = self._batch([parts[k] for k in at])
-                ids = np.where(rng.random(len(ids)) < DROPPED, 0, ids)
-                x = self._laid(self.inputs(ids, grams, starts), place, len(at))
-                g, dx = self.gradients(x, mask, y[at].astype(np.float32), weight[at])
-                dtoken = dx.transpose(1, 0, 2).reshape(-1, WORD + CHAR)[place]
-                g["word"], g["char"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["char"])
-                np.add.at(g["word"], ids, dtoken[:, :WORD])
-                known = np.flatnonzero(grams)
-                np.add.at(g["char"], grams[known], dtoken[np.searchsorted(starts, known, side="right") - 1, WORD:])
-                for k, d in g.items():
-                    d = d + DECAY * self.w[k]
-                    self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * d
-                    self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * d * d
-                    self.w[k] -= (rate * (self.m[k] / (1 - 0.9**t)) / (np.sqrt(self.v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-                self.w["char"][0] = 0
-        del self.m, self.v
-
-    def _batch(self, parts: list[list[bytes]]):
-        words = [w for p in parts for w in p]
-        sizes = np.array([len(p) for p in parts])
+        m, v, order = {}, {}, np.zeros(0, np.int64)
+        batch = min(BATCH, len(parts))
+        for t in range(1, steps + 1):
+            if len(order) < batch:
+                order = np.concatenate([order, rng.permutation(len(parts))])
+            at, order = order[:batch], order[batch:]
+            ids, grams, starts, place, mask = self._batch([parts[k] for k in at])
+            ids = np.where(rng.random(len(ids)) < DROPPED, 0, ids)
+            x = self._laid(self.inputs(ids, grams, starts), place, len(at))
+            g, dx = self.gradients(x, mask, y[at].astype(np.float32), weight[at])
+            dtoken = dx.transpose(1, 0, 2).reshape(-1, WORD + CHAR)[place]
+            g["word"], g["char"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["char"])
+            np.add.at(g["word"], ids, dtoken[:, :WORD])
+            known = np.flatnonzero(grams)
+            np.add.at(g["char"], grams[known], dtoken[np.searchsorted(starts, known, side="right") - 1, WORD:])
+            for k, d in g.items():
+                d = d + DECAY * self.w[k]
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * d
+                v[k] = 0.99 * v.get(k, 0) + 0.01 * d * d
+                self.w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
+            self.w["char"][0] = 0
+
+    def _batch(self, parts: list[bytes]):
+        own = [p.split() for p in parts]
+        sizes = np.array([len(p) for p in own])
+        words = [w for p in own for w in p]
         place = np.repeat(np.arange(len(parts)) * WINDOW, sizes) + np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         mask = np.arange(WINDOW)[:, None] < sizes[None, :]
         return *self.tokens(words), place, mask.astype(np.float32)
@@ -243,23 +242,27 @@ def _sample_windows(bound: int):
     return run
 
 
-def _tops(network: Recurrent, docs: list, parts: list[list[bytes]]) -> tuple[np.ndarray, dict]:
-    """The windows' logits, and each text's highest."""
-    scores = np.concatenate([np.concatenate(network.logits(parts[i : i + 2000])) for i in range(0, len(parts), 2000)])
-    best: dict = {}
-    for d, s in zip(docs, scores):
-        best[d] = max(best.get(d, -1e9), s)
-    return scores, best
+def _window_logits(network: Recurrent, parts: list[bytes]) -> np.ndarray:
+    """The logit of each window alone."""
+    return np.concatenate([x for i in range(0, len(parts), 1000) for x in network.logits([p.split() for p in parts[i : i + 1000]])])
 
 
-def _frequent(items: list[tuple], label: dict) -> list:
-    """What is in LEAST_SHARE of the texts of one label at least; items: (text, its parts)."""
-    out: set = set()
-    for value in (0, 1):
-        held = {(d, x) for d, own in items if label[d] == value for x in own}
-        least = max(LEAST_TEXTS, LEAST_SHARE * len({d for d, _ in items if label[d] == value}))
-        out.update(x for x, n in Counter(x for _, x in held).items() if n >= least)
-    return sorted(out)
+def _vocabulary(docs: np.ndarray, parts: list[bytes], y: np.ndarray) -> tuple[dict[bytes, int], np.ndarray]:
+    """Rows of words, and hashes of four-grams, that are in LEAST_TEXTS texts of one label. Windows of a text stand together."""
+    number: dict[bytes, int] = {}
+    in_words: list[list[int]] = []
+    in_grams = np.zeros((2, 1 << GRAM_BITS), np.int32)
+    ends = np.flatnonzero(np.append(docs[1:] != docs[:-1], True)) + 1
+    for i, j in zip([0, *ends], ends):
+        words = {w for p in parts[i:j] for w in p.split()}
+        for w in words:
+            k = number.setdefault(w, len(number))
+            if k == len(in_words):
+                in_words.append([0, 0])
+            in_words[k][y[i]] += 1
+        in_grams[y[i], np.unique(np.concatenate([grams_of(p.split())[0] for p in parts[i:j]]))] += 1
+    frequent = sorted(w for w, k in number.items() if max(in_words[k]) >= LEAST_TEXTS)
+    return {w: i + 1 for i, w in enumerate(frequent)}, np.flatnonzero(in_grams.max(0) >= LEAST_TEXTS)
 
 
 def kept_aside(label: dict) -> set:
@@ -267,30 +270,26 @@ def kept_aside(label: dict) -> set:
     return set(sorted(label, key=lambda d: (label[d], str(d)))[::ASIDE])
 
 
-def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT) -> Recurrent | None:
-    """windows: (doc, words joined by spaces); label: 0 or 1 by doc; most: windows of a text to train on. The offset is left at 0."""
-    trained, taken = [], Counter()
-    for d, w in sorted(windows, key=lambda r: (str(r[0]), crc32(r[1]))):
-        taken[d] += 1
-        if taken[d] <= most:
-            trained.append((d, w.split()))
-    if len({label[d] for d, _ in trained}) < 2:
+def fit(windows: list[tuple], label: dict, most: int = WINDOWS_PER_TEXT, steps: int = STEPS) -> Recurrent | None:
+    """windows: (doc, words joined by spaces), at most ``most`` of a doc; label: 0 or 1 by doc. The offset is left at 0."""
+    windows = sorted(windows, key=lambda r: (str(r[0]), r[1]))
+    known = {d: i for i, d in enumerate(sorted({d for d, _ in windows}, key=str))}
+    docs, parts = np.array([known[d] for d, _ in windows]), [p for _, p in windows]
+    y = np.array([label[d] for d, _ in windows])
+    if len(set(y.tolist())) < 2:
         return None
-    docs, parts = [d for d, _ in trained], [p for _, p in trained]
-    vocabulary = {w: i + 1 for i, w in enumerate(_frequent([(d, p) for d, p in zip(docs, parts)], label))}
-    grams = np.array(_frequent([(d, grams_of(p)[0].tolist()) for d, p in zip(docs, parts)], label), np.int64)
-    y = np.array([label[d] for d in docs])
+    vocabulary, grams = _vocabulary(docs, parts, y)
     first = Recurrent(vocabulary, grams)
-    # small samples are gone through more often, so that every fit takes a similar number of steps
-    epochs = min(8, max(2, round(STEPS / max(1, len(parts)))))
-    first.fit(parts, y, epochs)
-    scores, best = _tops(first, docs, parts)
+    first.fit(parts, y, steps)
+    scores = _window_logits(first, parts)
+    best = np.full(len(known), -np.inf)
+    np.maximum.at(best, docs, scores)
     clean = y == 0
     keep = clean | (scores > np.quantile(scores[clean], CLEAN))
     if not keep[~clean].any():
-        keep |= scores == np.array([best[d] for d in docs])
+        keep |= scores == best[docs]
     second = Recurrent(vocabulary, grams, seed=12)
-    second.fit([p for p, k in zip(parts, keep) if k], y[keep], epochs + 1)
+    second.fit([p for p, k in zip(parts, keep) if k], y[keep], steps)
     return second
 
 
@@ -359,6 +358,7 @@ def score(
     held_fold: int = 0,
     per_label: int = PER_LABEL,
     windows_per_text: int = WINDOWS_PER_TEXT,
+    steps: int = STEPS,
     carry: bool = False,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text; with carry, then ``row``, all of the document's columns."""
@@ -368,16 +368,17 @@ def score(
     read = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(remainder("doc_id", folds) != held_fold)
     known = known.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = dict(sampled_ids(known.join(documents.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi"), "doc_id", "label", per_label))
+    labelled = durable(known.join(read.select("doc_id"), "doc_id", "left_semi"))  # ids and labels alone
+    chosen = dict(sampled_ids(labelled, "doc_id", "label", per_label))
     network = None
     kind = read.schema["doc_id"].dataType.simpleString()
     if chosen:
         aside = kept_aside(chosen)
-        rows_of = lambda ids: read.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text")
-        found = rows_of(chosen.keys() - aside).mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, words binary").collect()
-        network = fit(sorted((r[0], bytes(r[1])) for r in found), chosen, windows_per_text)
+        sampled = texts_of(read, sorted(chosen.keys() - aside)).mapInArrow(_sample_windows(windows_per_text), f"doc_id {kind}, words binary").toArrow()
+        network = fit(list(zip(sampled["doc_id"].to_pylist(), sampled["words"].to_pylist())), chosen, windows_per_text, steps)
+        del sampled
         if network is not None:
-            tops = rows_of(aside).mapInArrow(_text_tops(network), f"doc_id {kind}, top double").collect()
+            tops = texts_of(read, sorted(aside)).mapInArrow(_text_tops(network), f"doc_id {kind}, top double").collect()
             network.offset = offset_of([(r[0], r[1]) for r in tops], chosen)
     rows = read.select("doc_id", "text", "held_out")
     out = f"doc_id {kind}, held_out boolean, score double, predicted int"
