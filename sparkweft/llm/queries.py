@@ -122,14 +122,17 @@ rate AS (
 cdf AS (
   SELECT source, k, sum(exp(-r + k * ln(r) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
   FROM rate, range(0, 400) t(k) WHERE k <= r + 12 * sqrt(r) + 24),
+keyed AS (
+  SELECT *, md5(concat_ws('|', coalesce(md5(doc_id::VARCHAR), '-'), coalesce(md5(text), '-'), coalesce(md5(lang), '-'),
+    coalesce(md5(source), '-'), coalesce(md5(n_chars::VARCHAR), '-'))) AS row_key FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY row_key) AS number FROM keyed),
 drawn AS (
-  SELECT d.*, ('0x' || substr(md5('42|' || doc_id || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents d),
+  SELECT *, ('0x' || substr(md5(concat('42|', row_key, '|', number, '|1')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM numbered),
 times AS (
-  SELECT d.doc_id, count(*) AS t FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u
-  GROUP BY d.doc_id)
+  SELECT d.row_key, d.number, count(*) AS t FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u
+  GROUP BY ALL)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, k AS copy_no,
-  ('0x' || substr(md5('42|order|' || d.doc_id || '|' || k), 1, 13))::BIGINT AS mix_key
-FROM documents d JOIN times USING (doc_id), LATERAL (SELECT unnest(range(1, t + 1)) AS k)
+  ('0x' || substr(md5(concat('42|order|', row_key, '|', number, '|', k)), 1, 13))::BIGINT AS mix_key
+FROM drawn d JOIN times USING (row_key, number), LATERAL (SELECT unnest(range(1, t + 1)) AS k)
 """,
 }

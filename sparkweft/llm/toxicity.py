@@ -37,6 +37,8 @@ PER_LABEL, WINDOWS_PER_TEXT = 1000, 24
 ASIDE = 4
 #: Words and four-grams get a vector if they are in so many sampled texts of one label at least; rarer words share one vector.
 LEAST_TEXTS = 3
+#: The offset weighs a share of clean texts that it flags so many times a share of toxic texts that it misses; most texts are clean.
+WRONG = 10
 #: A toxic text's window goes to the second round if it scores above this share of clean windows.
 CLEAN = 0.98
 #: Steps of a round of training, and windows of a step; the same for samples of every size.
@@ -305,7 +307,7 @@ def offset_of(tops: list[tuple], label: dict) -> float:
     s, t = np.array([r[0] for r in ranked]), np.array([r[1] for r in ranked])
     missed = np.concatenate([[0], np.cumsum(t)]) / max(1, t.sum())
     wrong = 1 - np.concatenate([[0], np.cumsum(1 - t)]) / max(1, np.sum(1 - t))
-    costs = missed + 5 * wrong  # most texts are clean, so a share of them weighs more
+    costs = missed + WRONG * wrong
     good = np.flatnonzero(costs <= costs.min() + 1e-9)
     low, high = s[max(0, good[0] - 1)], s[min(len(s) - 1, good[-1])]
     return float((low + high) / 2)

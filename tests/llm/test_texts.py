@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -125,33 +126,63 @@ def test_token_counts_of_odd_and_real_texts(spark, documents):
     assert token_count.count_tokens(df.limit(0), path).collect() == []
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def plain_key(row):
+    return md5("|".join("-" if v is None else md5(str(v)) for v in row))
+
+
+def poisson_at(u, rate):
+    k, p = 0, math.exp(-rate)
+    c = p
+    while c <= u:
+        k += 1
+        p *= rate / k
+        c += p
+    return k
+
+
 def test_poisson_rates_and_copies(spark, documents):
-    rows = mixing.mix(documents).collect()
-    sizes = Counter(r["source"] for r in documents.collect())
+    twice = documents.unionByName(documents.limit(20)).unionByName(documents.limit(7).withColumn("doc_id", F.lit(None).cast("long"))).cache()
+    rows, docs = mixing.mix(twice).collect(), [tuple(r) for r in twice.collect()]
+    sizes = Counter(d[3] for d in docs)
     weights = {s: n**0.5 for s, n in sizes.items()}
     rate = {s: weights[s] / sum(weights.values()) * sum(sizes.values()) / n for s, n in sizes.items()}
-    times = Counter((r["doc_id"], r["source"]) for r in rows)
-    import hashlib
-
-    for r in documents.collect():
-        u = int(hashlib.md5(f"42|{r['doc_id']}|1".encode()).hexdigest()[:13], 16) / 2**52
-        k, p = 0, math.exp(-rate[r["source"]])
-        c = p
-        while c <= u:
-            k += 1
-            p *= rate[r["source"]] / k
-            c += p
-        assert times[(r["doc_id"], r["source"])] == k
-    assert [r["mix_key"] for r in rows] != sorted(r["doc_id"] for r in rows)
+    want = Counter()
+    for d, n in Counter(docs).items():
+        for number in range(1, n + 1):
+            u = int(md5(f"42|{plain_key(d)}|{number}|1")[:13], 16) / 2**52
+            for copy in range(1, poisson_at(u, rate[d[3]]) + 1):
+                want[(*d, copy, int(md5(f"42|order|{plain_key(d)}|{number}|{copy}")[:13], 16))] += 1
+    assert Counter(tuple(r) for r in rows) == want
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert ids != sorted(ids)
+
+
+@pytest.mark.parametrize("sources, keys", [(2_000, 100_000), (0, 0)])
+def test_rows_without_an_id_draw_apart(spark, monkeypatch, sources, keys):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    monkeypatch.setattr(mixing, "BROADCAST_KEYS", keys)
+    rows = [(None, f"text {i}", "s") for i in range(500)] + [(1, "same", "s")] * 2500 + [(2, f"text {i}", "s") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    out = mixing.mix(df).collect()
+    for own, n in (([r for r in out if r["doc_id"] is None], 500), ([r for r in out if r["doc_id"] == 2], 500), ([r for r in out if r["doc_id"] == 1], 2500)):
+        assert abs(len(own) - n) < 4 * n**0.5 and len({r["mix_key"] for r in own}) == len(own)
 
 
 def test_mixing_of_odd_rows(spark):
-    df = spark.createDataFrame([(1, "a", None, 5), (1, "a", None, 5), (None, None, "s", 5), (2, "b", "", 5), (3, "c", "s", 5)], "doc_id long, text string, source string, copy_no int")
-    weights = spark.createDataFrame([(None, 900.0), ("s", 50.0), ("", 50.0)], "source string, weight double")
+    df = spark.createDataFrame([(1, "a", None, 5, "p"), (1, "a", None, 5, "p"), (None, None, "s", 5, None), (2, "b", "", 5, "q"), (3, "c " * 500_000, "s", 5, "q")], "doc_id long, text string, source string, copy_no int, `a.b` string")
+    df = df.withColumns({c: F.lit(1) for c in ("__source", "row", "key", "number", "n", "s", "parts", "cdf", "times", "rate", "w")})
+    weights = spark.createDataFrame([(None, 900.0), ("s", 50.0), ("", None), ("nowhere", 50.0)], "source string, weight double")
     rows = mixing.mix(df, weights=weights).collect()
-    of = Counter((r["doc_id"], r["source"]) for r in rows)
-    assert rows[0].__fields__ == ["doc_id", "text", "source", "copy_no", "mix_key"] and of[(1, None)] % 2 == 0 and of[(1, None)] > 0
-    assert mixing.mix(df.limit(0)).collect() == []
+    assert rows[0].__fields__ == [*(c for c in df.columns if c != "copy_no"), "copy_no", "mix_key"]
+    assert sum(r["doc_id"] == 1 for r in rows) > 0 and not any(r["doc_id"] == 2 for r in rows) and all(len(r["text"]) == 10**6 for r in rows if r["doc_id"] == 3)
+    assert mixing.mix(df.limit(0)).collect() == [] and mixing.mix(df, weights=weights.limit(0)).collect() == []
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="finite"):
+            mixing.mix(df, weights=spark.createDataFrame([("s", bad)], "source string, weight double")).collect()
     heavy = mixing.mix(spark.createDataFrame([(i, "s") for i in range(40)] + [(i, "t") for i in range(40, 40_040)], "doc_id long, source string"), temperature=0.0)
     counts = [r[0] for r in heavy.where("source = 's'").groupBy("doc_id").count().select("count").collect()]
     assert len(counts) == 40 and abs(np.mean(counts) - 500.5) < 4 * (500.5 / 40) ** 0.5 + 1
