@@ -70,7 +70,7 @@ QUERIES = {
 _CHAT_SQL = """
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
-    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos FROM conversations),
 p AS (
   SELECT *, string_agg(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-') || chr(2), '')
     OVER (PARTITION BY conv_id ORDER BY pos) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),

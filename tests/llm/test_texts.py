@@ -202,6 +202,44 @@ def test_chat_prefixes_collapse(spark):
     assert chat.collapse_and_render(df.limit(0)).collect() == []
 
 
+def plain_chat(turns):
+    """(conv, part, n_turns, n_copies, rendered) by lists and prefixes."""
+    order = lambda t: tuple((v is not None, v) for v in (t[1], t[2], None if t[3] is None else md5(t[3])))
+    of = {}
+    for t in turns:
+        of.setdefault(t[0], []).append(t)
+    said = {c: tuple((t[2], t[3]) for t in sorted(own, key=order)) for c, own in of.items()}
+    prefixes = {s[:k] for s in said.values() for k in range(1, len(s))}
+    alike = {}
+    for c, s in said.items():
+        if s not in prefixes:
+            alike.setdefault(s, []).append(c)
+    broken = lambda x: x.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>")
+    shown = lambda r, x: f"<|im_start|>{broken('unknown' if r is None else r)}\n{broken(x or '')}<|im_end|>\n"
+    out = Counter()
+    for s, convs in alike.items():
+        first = min((c for c in convs if c is not None), default=None)
+        for k in range(0, len(s), 64):
+            out[(first, k // 64, len(s), len(convs), "".join(shown(*x) for x in s[k : k + 64]))] += 1
+    return out
+
+
+@pytest.mark.parametrize("crowded, broadcast", [(1024, 100_000), (20, 0)])
+def test_chat_matches_plain_prefixes(spark, monkeypatch, crowded, broadcast):
+    monkeypatch.setattr(chat, "CROWDED", crowded)
+    monkeypatch.setattr(chat, "BROADCAST_BLOCKS", broadcast)
+    monkeypatch.setattr(chat, "BLOCK", 256 if crowded > 20 else 8)
+    turns = [(1, 0, f"r{i % 7}", f"t{i}") for i in range(300)] + [(1, 256, "u", f"x{i}") for i in range(5)]  # many of one number
+    turns += [(2, 0, "u", "a"), (2, 1000, "v", "b"), (3, 0, "u", "a"), (4, -700, "u", "z"), (4, None, "u", "y"), (4, None, None, None)]  # sparse, negative, without number
+    turns += [(5, i, "u", f"n{i}") for i in range(1, 301)] + [(6, i, "u", f"n{i}") for i in range(1, 100)]  # from 1
+    turns += [(None, i % 3, ["u", None][i % 2], [None, "", "w", f"q{i}"][i % 4]) for i in range(400)]
+    turns += [(7, 0, "u", "same")] * 90 + [(8, 3, "u", "same")] * 70 + [(9, 0, "u", "a very long text " * 60_000)] + [(10, 5, "u", "same")] * 90
+    turns += [(11 + i % 30, i // 30, "u", f"common {i // 30}") for i in range(90)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("id", "block", "pos", "part")}).repartition(3)
+    rows = Counter(tuple(r) for r in chat.collapse_and_render(df).collect())
+    assert rows == plain_chat(turns)
+
+
 def plain_measures(text):
     text = text or ""
     space = "\x20\x09\x0a\x0b\x0c\x0d"
