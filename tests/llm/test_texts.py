@@ -370,9 +370,12 @@ def test_toxicity_of_odd_texts(spark):
     assert toxicity.score(df.limit(0), labels).collect() == []
 
 
-def test_cross_entropy_difference_matches_brute_force(spark, documents):
+@pytest.mark.parametrize("common, bucket_bytes", [(32, 20_000), (2, 1 << 30)])
+def test_cross_entropy_difference_matches_brute_force(spark, documents, monkeypatch, common, bucket_bytes):
+    monkeypatch.setattr(lm_score, "COMMON", common)
+    monkeypatch.setattr(lm_score, "BLOCK_DOCS", 50)
     target = spark.read.parquet(f"{SF}/benchmark.parquet")
-    docs = [(r["doc_id"], r["text"]) for r in documents.collect()] + [x for x in ODD if x[0] != 7]
+    docs = [(r["doc_id"], r["text"]) for r in documents.collect()] + ODD
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, score int").repartition(3)
     texts = [r["text"] for r in target.collect()]
 
@@ -382,16 +385,16 @@ def test_cross_entropy_difference_matches_brute_force(spark, documents):
         return [("context", b) for b in before] + [("pair", b, x) for b, x in zip(before, w)]
 
     aim, back = Counter(g for t in texts for g in grams(t)), Counter(g for _, t in docs for g in grams(t))
-    scale = sum(len(t.encode()) for t in texts) / sum(len((t or "").encode()) for _, t in docs)
+    v = len({w for t in [*texts, *(t for _, t in docs)] for w in lm_score.words_of(t)})
 
     def score(t):
         total = 0.0
         for g in grams(t):
-            base = 200.0 if g[0] == "context" else 200.0 / 2**20
-            total += math.log((back[g] * scale + base) / (aim[g] + base)) * (-1 if g[0] == "context" else 1)
+            base = 200.0 if g[0] == "context" else 200.0 / v
+            total += math.log((back[g] + base) / (aim[g] + base)) * (-1 if g[0] == "context" else 1)
         return total / max(1, len(lm_score.words_of(t)))
 
-    rows = lm_score.cross_entropy_difference(df.cache(), target, buckets=7).collect()
+    rows = lm_score.cross_entropy_difference(df.cache(), target, bucket_bytes=bucket_bytes).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(lm_score.words_of(t))) for i, t in docs)
     want = {}
     for i, t in docs:
