@@ -30,7 +30,6 @@ NOTABLE = (
 ACCURACY = ("exact", "approximate", "degraded", "unknown")
 ACCURACY_OF = {"compile_commands.json": "exact", "auto-detected": "approximate", "fallback": "degraded"}
 LANGUAGES = {".c": "c", ".cc": "c++", ".cpp": "c++", ".cxx": "c++", ".c++": "c++", ".m": "objective-c", ".mm": "objective-c++"}
-HEADERS = (".h", ".hh", ".hpp", ".hxx", ".h++", ".inc", ".inl", ".ipp", ".tcc", ".tpp")
 SKIPPED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".cache", ".ccache", "CMakeFiles")
 DATABASE_FOLDERS = ("", "build", "Build", "cmake-build-debug", "cmake-build-release", "out", "out/build", "build/debug", "build/release")
 STATUS_WORDS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type changed"}
@@ -45,6 +44,7 @@ FACT = T.StructType(
     + [T.StructField("degraded", T.StringType()), T.StructField("F", T.MapType(T.StringType(), T.StringType()))]
 )
 
+# Columns follow the wire.
 FILE = ("path string, is_system boolean, in_project boolean")
 TU = ("tu string, config_source string, config_detail string, degraded boolean, pch_dropped string, errors long, stamp string, stats string")
 RAW_SYMBOL = (

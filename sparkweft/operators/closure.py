@@ -80,13 +80,13 @@ def members(symbols: DataFrame) -> DataFrame:
     return inside.join(symbols.select(F.col("usr").alias("parent")), "parent", "left_semi")
 
 
-def container_end(symbols: DataFrame, nested: Sequence[str] = ("namespace",), most: int = model.NAMESPACE_DEPTH) -> DataFrame:
-    """usr, last_line: the last line of what a container holds in its own file, nested namespaces included."""
+def container_end(symbols: DataFrame, nested: Sequence[str] = ("namespace",), most: int = model.NAMESPACE_DEPTH, starts: DataFrame | None = None) -> DataFrame:
+    """usr, last_line: the last line of what a container (all, or the given symbols) holds in its own file, nested namespaces included."""
     inside = symbols.where("parent_usr is not null").select(
         F.col("parent_usr").alias("parent"), F.col("file_id").alias("file"), F.col("usr").alias("member"), "kind", F.coalesce("end_line", "line").alias("end")
     )
     best = None
-    level = symbols.select("usr", F.col("file_id").alias("file"), F.col("usr").alias("parent"))
+    level = (symbols if starts is None else starts).select("usr", F.col("file_id").alias("file"), F.col("usr").alias("parent"))
     for _ in range(most + 1):
         rows = level.join(inside, ["parent", "file"])
         part = rows.groupBy("usr").agg(F.max("end").alias("end"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkweft import model
 from sparkweft.functions import expr
-from sparkweft.operators import closure, edges, family, impact, merge, ranges, resolve, status
+from sparkweft.operators import closure, edges, family, impact, ranges, resolve, status
 from sparkweft.sources import git
 from sparkweft.sources.store import Store
 
@@ -47,12 +47,15 @@ class Index:
     @classmethod
     def open(cls, store: Store, root: str) -> Index:
         files = store.table("file").withColumn("file_id", F.col("path"))
-        raw = store.table("symbol").withColumnsRenamed({"file": "file_id", "def_file": "def_file_id", "tu": "tu_id"})
-        symbols = edges.with_project(merge.merge_symbols(raw, files), files)
+        symbols = edges.with_project(store.symbols(), files)
         found = store.table("edge").withColumnsRenamed({"file": "file_id", "tu": "tu_id"})
         diags = store.table("diag").withColumnRenamed("file", "file_id")
         return cls(store.spark, root, files, store.table("unit"), symbols, found, store.table("include"), diags, store.meta())
 
+    def readable(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def place(self, path: str = "file_id", line: str = "line") -> Column:
         return expr.location(expr.relative(F.col(path), self.root), F.col(line))
 
@@ -182,7 +185,15 @@ def get_index_status(index: Index, args: dict) -> dict:
     if out["accuracy"] == "exact" and out["pch_dropped_tus"]:
         out["accuracy"] = "approximate"
     out["compiler_arguments"] = {r["source"]: r["units"] for r in sources}
-    out["meta"] = {r["key"]: r["value"] for r in index.meta.collect()}
+    out["meta"] = meta = {r["key"]: r["value"] for r in index.meta.collect()}
+    if out["accuracy"] == "empty":
+        out["note"] = "no translation units have been indexed"
+    if meta.get("indexed_at"):
+        out["built_at"] = meta["indexed_at"]
+    if meta.get("git_revision"):
+        out["indexed_revision"] = meta["git_revision"]
+        if now := git.head(index.root):
+            out |= {"current_revision": now, "index_matches_working_tree": now == meta["git_revision"]}
     said = {"degraded_tus": "unit(s) were analysed with guessed arguments", "failed_tus": "unit(s) reported errors", "pch_dropped_tus": "unit(s) were read without their precompiled header"}
     warnings = [f"{out[k]} {words}" for k, words in said.items() if out[k]]
     return out | ({"warnings": warnings} if warnings else {})
@@ -348,7 +359,7 @@ def get_file_dependencies(index: Index, args: dict) -> dict:
 
 def get_source_context(index: Index, args: dict) -> dict:
     usr, context = one(index, args), number(args, "context_lines", 20, 0, 200)
-    extent = closure.container_end(index.symbols).withColumnRenamed("usr", "__u")
+    extent = closure.container_end(index.symbols, starts=only(index, usr)).withColumnRenamed("usr", "__u")
     defined = F.col("def_file_id").isNotNull()
     first = F.when(defined, F.col("def_line")).otherwise(F.col("line"))
     inner = F.when(F.col("kind").isin("namespace", "class", "struct"), F.col("last_line"))
@@ -359,7 +370,8 @@ def get_source_context(index: Index, args: dict) -> dict:
     out = header(index, usr)
     if row["path"] is None or not row["first"]:
         return out
-    source = index.spark.read.text(row["path"], wholetext=True).select(F.lit(row["path"]).alias("path"), F.col("value").alias("text"))
+    held = index.spark.read.option("ignoreMissingFiles", True).format("binaryFile").load(row["path"]) if index.readable(row["path"]) else index.spark.createDataFrame([], "content binary")
+    source = held.select(F.lit(row["path"]).alias("path"), F.decode("content", "utf-8").alias("text"))
     return out | plain(ranges.source_context(wanted, source, context).drop("usr").collect())[0]
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
+import shlex
 import subprocess
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweft import model
+from sparkweft.sources.facts import canonical
 
 ENTRY = "file string, source string, directory string, command string, arguments array<string>"
 
@@ -21,9 +27,32 @@ def find(root: str, given: str | None = None) -> str | None:
     return next((p for p in places if os.path.isfile(p)), None)
 
 
+@dataclass
+class Database:
+    """Where a project's compiler arguments come from. source: explicit, discovered or none; files: path, header."""
+
+    path: str | None
+    source: str
+    detail: str
+    files: DataFrame | None = None
+    header_builders: int = 0
+
+
+def _parted(commands: pd.Series) -> pd.Series:
+    def words(command: str | None) -> list[str] | None:
+        if command is None:
+            return None
+        try:
+            return shlex.split(command)
+        except ValueError:
+            return command.split()
+
+    return commands.map(words)
+
+
 def arguments() -> Column:
-    """An entry's arguments: the list, or the command parted at white space."""
-    return F.coalesce("arguments", F.filter(F.split("command", r"\s+"), lambda a: a != ""))
+    """An entry's arguments: the list, or the command parted as a shell parts it."""
+    return F.coalesce("arguments", F.pandas_udf(_parted, "array<string>")("command"))
 
 
 def includes_header(argv: Column) -> Column:
@@ -37,14 +66,41 @@ def builds_header(argv: Column) -> Column:
     return F.coalesce(F.array_contains(argv, "-emit-pch"), F.lit(False))
 
 
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """path, header, builds: the first entry of every source file that a database lists, under one normal path."""
+    rows = spark.read.schema(ENTRY).option("multiLine", True).json(path).withColumn("n", F.monotonically_increasing_id())
+    name = F.coalesce(F.nullif("file", F.lit("")), F.nullif("source", F.lit("")))
+    folder = F.coalesce(F.nullif("directory", F.lit("")), F.lit(os.path.dirname(os.path.abspath(path))))
+    argv = arguments()
+    named = rows.where(name.isNotNull()).select(
+        canonical(name, folder).alias("path"), F.coalesce(includes_header(argv), F.lit("")).alias("header"), builds_header(argv).alias("builds"), "n"
+    )
+    kept = named.where(F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1).isin(*model.LANGUAGES))
+    return kept.groupBy("path").agg(F.min_by(F.struct("header", "builds"), "n").alias("e")).select("path", F.nullif("e.header", F.lit("")).alias("header"), "e.builds")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """path, header, of the distinct source files of a database, in order; units that build a header are left out."""
-    rows = spark.read.schema(ENTRY).option("multiLine", True).json(path)
-    argv = arguments()
-    named = rows.select(F.coalesce("file", "source").alias("file"), "directory", includes_header(argv).alias("header"), builds_header(argv).alias("builds"))
-    whole = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
-    found = named.where("file is not null and not builds").groupBy(whole.alias("path")).agg(F.max("header").alias("header"))
-    return found.orderBy("path")
+    return entries(spark, path).where("not builds").select("path", "header").orderBy("path")
+
+
+def load(spark: SparkSession, root: str, given: str | None = None) -> Database:
+    """The database of a project; one that is missing, unreadable or no array is not found, and ``detail`` says why."""
+    path = find(root, given)
+    if path is None:
+        place = f"at {given}" if given else f"in {root} or its build folders"
+        return Database(None, "none", f"no compilation database {place}")
+    try:
+        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).select(F.schema_of_variant("v")).first()
+        kind = (whole and whole[0]) or "no JSON"
+    except Exception as e:  # whatever keeps a file from being read
+        kind = str(e).splitlines()[0]
+    if not kind.startswith("ARRAY"):
+        return Database(None, "none", f"{path} holds no JSON array of compile commands ({kind})")
+    found = entries(spark, path)
+    counted = found.agg(F.count_if(~F.col("builds")).alias("files"), F.count_if("builds").alias("builders")).first()
+    detail = f"{counted['files']} translation units in {path}" + (f"; {counted['builders']} that build a precompiled header skipped" if counted["builders"] else "")
+    return Database(path, "explicit" if given else "discovered", detail, found.where("not builds").select("path", "header").orderBy("path"), counted["builders"])
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -69,11 +125,48 @@ def plan(files: DataFrame, only: list[str] | None = None, limit: int | None = No
     return files.limit(limit) if limit is not None else files
 
 
-def stamps(files: DataFrame, contents: DataFrame, database_time: str) -> DataFrame:
-    """tu, stamp of files (path) with contents (path, content)."""
+def present(files: DataFrame) -> DataFrame:
+    """Of files (path, ...) those that exist; looked up by the executors, in batches."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch[batch["path"].map(os.path.isfile)]
+
+    return files.mapInPandas(run, files.schema)
+
+
+def stamps(files: DataFrame, database_time: str = "") -> DataFrame:
+    """files (path, ...) with tu and stamp: SHA-256 over the file's bytes, a NUL and the database's time."""
     from sparkweft.functions import expr
 
-    return files.join(contents, "path").select(F.col("path").alias("tu"), expr.stamp(F.col("content"), F.lit(database_time)).alias("stamp"))
+    def run(batches):
+        for batch in batches:
+            contents = []
+            for path in batch["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        contents.append(f.read())
+                except OSError:
+                    contents.append(b"<unreadable>")
+            yield batch.assign(content=contents)
+
+    held = files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+    return held.select(*files.columns, F.col("path").alias("tu"), expr.stamp(F.col("content"), F.lit(database_time)).alias("stamp"))
+
+
+def _whole(text: str) -> bool:
+    """Whether every line is an object and one of them ends the stream."""
+    done = False
+    for line in text.splitlines():
+        if line.strip():
+            try:
+                record = json.loads(line)
+            except ValueError:
+                return False
+            if not isinstance(record, dict):
+                return False
+            done = done or record.get("t") == "done"
+    return done
 
 
 def _run(command: list[str], timeout: float) -> tuple[str, str]:
@@ -92,17 +185,15 @@ def produce(planned: DataFrame, command: Callable[[str, bool], list[str]], timeo
     """stream, text, error: the facts of each planned unit (path, header) from an extractor.
 
     command gives the arguments for a path; a unit whose build names a precompiled header is tried
-    once more without it. A failure that left output is still handed on: its end record tells.
+    once more without it if its facts are missing or cut. A failure that left output is still handed on: its end record tells.
     """
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
             rows = []
             for path, header in zip(batch["path"], batch["header"]):
                 text, error = _run(command(path, False), timeout)
-                if error and header:
+                if header and (error or not _whole(text)):
                     text, error = _run(command(path, True), timeout)
                 rows.append((path, text, error))
             yield pd.DataFrame(rows, columns=["stream", "text", "error"])

@@ -23,9 +23,14 @@ class Facts:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """stream, seq, line: the lines of every file under a path, in order; bytes that are no UTF-8 become U+FFFD."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return from_texts(files.select(F.col("path").alias("stream"), F.decode("content", "utf-8").alias("text")))
+    """stream, seq, line: the lines of every file under a path, in order; bytes that are no UTF-8 become U+FFFD.
+
+    Files are read in splits, so a stream of any size spreads over tasks; seq orders a stream's lines.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    seq = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    line = F.regexp_replace(F.make_valid_utf8("value"), "\r$", "")
+    return rows.select(F.col("_metadata.file_path").alias("stream"), seq.alias("seq"), line.alias("line"))
 
 
 def from_texts(streams: DataFrame) -> DataFrame:
@@ -33,19 +38,16 @@ def from_texts(streams: DataFrame) -> DataFrame:
     return streams.select("stream", F.posexplode(F.split("text", "\r?\n")).alias("seq", "line"))
 
 
-def _field(name: str) -> Column:
-    return F.get_json_object("line", f"$.{name}")
-
-
 def parse(lines: DataFrame) -> DataFrame:
     """One row a record with the wire's keys; ``ok`` is false for a line that is not a JSON object. Blank lines go.
 
-    Keys are read one by one from the line, since two differ by case alone.
+    A line is parsed once, to a variant, whose keys tell case.
     """
-    kept = lines.where(F.trim("line") != "")
+    kept = lines.where(F.trim("line") != "").select("stream", "seq", "line", F.try_parse_json("line").alias("record"))
     wire = [f for f in model.FACT.fields if f.name != "F"]
-    whole = F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull()
-    return kept.select("stream", "seq", F.coalesce(whole, F.lit(False)).alias("ok"), *(_field(f.name).try_cast(f.dataType).alias(f"j_{f.name}") for f in wire), _field("F").alias("j_flags"))
+    field = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    whole = F.trim("line").startswith("{") & F.col("record").isNotNull()
+    return kept.select("stream", "seq", F.coalesce(whole, F.lit(False)).alias("ok"), *(field(f.name, f.dataType.simpleString()).alias(f"j_{f.name}") for f in wire), field("F", "string").alias("j_flags"))
 
 
 def verdicts(records: DataFrame) -> DataFrame:
@@ -73,16 +75,17 @@ def remap(facts: DataFrame, local_files: DataFrame, columns: dict[str, str], req
     return out
 
 
-def canonical(path: Column, root: str) -> Column:
+def canonical(path: Column, root: str | Column) -> Column:
     """An absolute path with . and .. and doubled slashes resolved, relative ones under the root."""
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    root = F.concat(root, F.lit("/")) if isinstance(root, Column) else F.lit(root.rstrip("/") + "/")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(root, path))
     parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
     walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
     return F.concat(F.lit("/"), F.array_join(walked, "/"))
 
 
-def decode(lines: DataFrame, root: str = "/") -> tuple[Facts, DataFrame]:
-    """(facts of the accepted streams, verdicts of all streams)."""
+def decode(lines: DataFrame, root: str = "/", stamps: DataFrame | None = None) -> tuple[Facts, DataFrame]:
+    """(facts of the accepted streams, verdicts of all streams). stamps: stream, stamp of what the streams were made from."""
     records = parse(lines)
     judged = verdicts(records)
     good = records.join(judged.where("accepted").select("stream"), "stream", "left_semi")
@@ -95,8 +98,12 @@ def decode(lines: DataFrame, root: str = "/") -> tuple[Facts, DataFrame]:
     units = meta.select(
         "stream", tu.alias("tu"), F.coalesce("config_source", F.lit("")).alias("config_source"), F.coalesce("config_detail", F.lit("")).alias("config_detail"),
         F.col("degraded").isNotNull().alias("degraded"), F.coalesce("pch_dropped", F.lit("")).alias("pch_dropped"),
-        F.coalesce(F.get_json_object("errors", "$.errors").try_cast("long"), F.lit(0)).alias("errors"), F.lit("").alias("stamp"), "stats",
+        F.coalesce(F.get_json_object("errors", "$.errors").try_cast("long"), F.lit(0)).alias("errors"), "stats",
     )
+    stamp = F.lit("") if stamps is None else F.coalesce("stamp", F.lit(""))
+    if stamps is not None:
+        units = units.join(stamps.select("stream", "stamp"), "stream", "left")
+    units = units.withColumn("stamp", stamp)
     named = lambda df: df.join(units.select("stream", "tu"), "stream")
     flags = F.when(F.coalesce("j_flags", F.lit("{}")) != "{}", F.col("j_flags"))
     symbols = named(remap(of("sym"), local, {"j_f": "file", "j_df": "def_file"})).select(
@@ -118,4 +125,4 @@ def decode(lines: DataFrame, root: str = "/") -> tuple[Facts, DataFrame]:
     inside = F.col("path").startswith(root.rstrip("/") + "/")
     paths = local.groupBy("path").agg(F.max("sys").alias("sys"))
     files = paths.select("path", (F.col("sys") == 1).alias("is_system"), ((F.col("sys") == 0) & inside).alias("in_project"))
-    return Facts(units.drop("stream"), files, symbols, edges, includes, diags), judged
+    return Facts(units.select([c.split()[0] for c in model.TU.split(", ")]), files, symbols, edges, includes, diags), judged

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkweft import model
 
-HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+#: Fixed value: how git heads a hunk.
+HUNK = r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 RANGE = "path string, start int, end int"
 
 
@@ -32,19 +33,24 @@ def ranges(patch: DataFrame) -> DataFrame:
 
     A hunk belongs to the last file named above it. A deletion leaves the single line it stood at.
     """
+    of = lambda k: F.regexp_extract("line", HUNK, k)
+    size = lambda k: F.when(of(k) == "", F.lit(1)).otherwise(of(k).try_cast("int"))
+    hunk, mark = F.col("line").rlike(HUNK), F.col("line").startswith("diff --git ")
+    over = Window.partitionBy("diff").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    # content is told from file headers by its place: a hunk's counts say how many of the lines after it are its own
+    placed = patch.withColumn("n", F.count_if(~F.col("line").startswith("\\")).over(over))
+    last = F.last(F.when(hunk, F.struct("n", (size(1) + size(3)).alias("lines"))).when(mark, F.struct("n", F.lit(0).alias("lines"))), ignorenulls=True).over(over)
+    placed = placed.withColumn("last", last)
+    content = ~hunk & ~mark & F.coalesce(F.col("n") <= F.col("last.n") + F.col("last.lines"), F.lit(False))
     plus = F.regexp_replace(F.regexp_replace(F.trim(F.substring("line", 5, 1 << 20)), '^"(.*)"$', "$1"), "^[ab]/", "")
-    header = F.regexp_extract("line", r"^diff --git .* b/(.*)$", 1)
     named = (
-        F.when(F.col("line").startswith("+++ /dev/null"), F.lit(""))
+        F.when(content, None)
+        .when(F.col("line").startswith("+++ /dev/null"), F.lit(""))
         .when(F.col("line").startswith("+++ "), plus)
-        .when(F.col("line").startswith("diff --git "), header)
+        .when(mark, F.regexp_extract("line", r"^diff --git .* b/(.*)$", 1))
     )
-    over = Window.partitionBy("diff").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    # within a hunk, lines that begin like a file header are content; hunks have no context, so a '+++ ' after '---' is a header
-    at = patch.withColumn("path", F.last(named, ignorenulls=True).over(over)).where(F.col("line").rlike(HUNK) & (F.col("path") != ""))
-    start = F.regexp_extract("line", HUNK, 1).cast("int")
-    text = F.regexp_extract("line", HUNK, 2)
-    count = F.when(text == "", F.lit(1)).otherwise(text.try_cast("int"))
+    at = placed.withColumn("path", F.last(named, ignorenulls=True).over(over)).where(hunk & (F.col("path") != ""))
+    start, count = of(2).cast("int"), size(3)
     first = F.when(count == 0, F.greatest(F.lit(1), start)).otherwise(start)
     return at.select("path", first.alias("start"), F.when(count == 0, first).otherwise(start + count - 1).alias("end"))
 
@@ -56,8 +62,16 @@ def _git(root: str, *args: str, check: bool = True) -> str:
     return done.stdout.decode("utf-8", "replace")
 
 
+def head(root: str) -> str:
+    """The short revision that a repository stands at; empty where there is none."""
+    try:
+        return _git(root, "rev-parse", "--short", "HEAD", check=False).strip()
+    except (OSError, subprocess.SubprocessError):
+        return ""
+
+
 def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(0, i, line) for i, line in enumerate(text.splitlines())], "diff int, seq int, line string")
+    return spark.createDataFrame([(0, i, line) for i, line in enumerate(text.split("\n"))], "diff int, seq int, line string")
 
 
 def diff(spark: SparkSession, root: str, revision: str = "HEAD", staged: bool = False) -> DataFrame:
@@ -66,7 +80,7 @@ def diff(spark: SparkSession, root: str, revision: str = "HEAD", staged: bool =
     Files that git does not track yet belong to the working tree, so they count where that is compared.
     """
     top = _git(root, "rev-parse", "--show-toplevel").strip()
-    args = ["diff", *(["--cached"] if staged else []), *([] if revision == "worktree" else [revision]), "-M", "--no-color", "--no-ext-diff"]
+    args = ["-c", "core.quotepath=off", "diff", *(["--cached"] if staged else []), *([] if revision == "worktree" else [revision]), "-M", "--no-color", "--no-ext-diff"]
     found = statuses(_lines(spark, _git(top, *args, "--name-status")).select("line"))
     lines = ranges(_lines(spark, _git(top, *args, "-U0")))
     out = found.join(lines, "path", "left")

@@ -4,32 +4,44 @@ from pyspark.sql import functions as F
 from sparkweft import model
 from sparkweft.operators import closure, edges, family, impact, merge, ranges, resolve, status
 
-FILES = [("include/iface.h", False, True), ("src/pool.cpp", False, True), ("src/use.cpp", False, True), ("src/other.cpp", False, True), ("/usr/sys.h", True, False)]
+# A small drawing library, made up for these tests: shapes in a namespace, three of them in a line of descent.
+FILES = [("lib/shape.h", False, True), ("lib/disc.cpp", False, True), ("lib/ring.cpp", False, True), ("bin/draw.cpp", False, True), ("/sdk/math.h", True, False)]
 SYM = "usr string, kind string, name string, qualified string, signature string, type_text string, file_id string, line int, col int, end_line int, def_file_id string, def_line int, parent_usr string, flags string, stub int, tu_count long, in_project boolean"
 EDGE = "tu_id string, kind string, src string, dst string, file_id string, line int, weight long, flags string"
 
 
 def sym(usr, kind, qualified, signature, file, line, end=None, parent=None, flags=None, def_file=None, def_line=None):
-    return (usr, kind, qualified.rsplit("::", 1)[-1], qualified, signature, None, file, line, 1, end, def_file, def_line, parent, flags, 0, 1, not file.startswith("/usr"))
+    return (usr, kind, qualified.rsplit("::", 1)[-1], qualified, signature, None, file, line, 1, end, def_file, def_line, parent, flags, 0, 1, not file.startswith("/sdk"))
 
 
 SYMBOLS = [
-    sym("Alloc", "class", "mem::Allocator", "", "include/iface.h", 4, 12),
-    sym("Alloc.allocate", "method", "mem::Allocator::allocate", "(unsigned long)", "include/iface.h", 6, parent="Alloc", flags='{"virtual":1,"pure":1}'),
-    sym("Alloc.size", "method", "mem::Allocator::size", "()", "include/iface.h", 7, parent="Alloc", flags='{"virtual":1}'),
-    sym("Fast", "class", "mem::Fast", "", "include/iface.h", 10),
-    sym("Fast.allocate", "method", "mem::Fast::allocate", "(unsigned long)", "src/pool.cpp", 3, parent="Fast"),
-    sym("Helper.grow", "method", "mem::Helper::grow", "(unsigned long)", "src/pool.cpp", 1),
-    sym("run", "function", "run", "()", "src/use.cpp", 2, 8),
-    sym("Buffer.allocate#l", "method", "Buffer::allocate", "(unsigned long)", "src/other.cpp", 3, parent="Buffer"),
-    sym("Buffer.allocate#d", "method", "Buffer::allocate", "(double)", "src/other.cpp", 4, parent="Buffer"),
+    sym("geo", "namespace", "geo", "", "lib/shape.h", 1, 60),
+    sym("shape", "class", "geo::Shape", "", "lib/shape.h", 5, 20, parent="geo"),
+    sym("shape.area", "method", "geo::Shape::area", "() const", "lib/shape.h", 8, 8, parent="shape", flags='{"virtual":1}'),
+    sym("disc", "class", "geo::Disc", "", "lib/shape.h", 24, 34, parent="geo"),
+    sym("disc.area", "method", "geo::Disc::area", "() const", "lib/shape.h", 27, 9, parent="disc", def_file="lib/disc.cpp", def_line=4),
+    sym("ring", "class", "geo::Ring", "", "lib/shape.h", 38, 50, parent="geo"),
+    sym("ring.area", "method", "geo::Ring::area", "() const", "lib/shape.h", 41, 14, parent="ring", def_file="lib/ring.cpp", def_line=6),
+    sym("square", "function", "geo::square", "(double)", "lib/disc.cpp", 12, 15, parent="geo"),
+    sym("draw", "function", "draw", "(const geo::Shape &)", "bin/draw.cpp", 3, 11),
+    sym("start", "function", "main", "()", "bin/draw.cpp", 13, 20),
+    sym("scale#i", "function", "scale", "(int)", "bin/draw.cpp", 22),
+    sym("scale#d", "function", "scale", "(double)", "bin/draw.cpp", 23),
+    sym("hypot", "function", "hypot", "(double, double)", "/sdk/math.h", 90),
 ]
 EDGES = [
-    ("pool", "inherits", "Fast", "Alloc", "include/iface.h", 10, 1, '{"acc":"pub"}'),
-    ("pool", "overrides", "Fast.allocate", "Alloc.allocate", "include/iface.h", 11, 1, None),
-    ("pool", "calls", "Fast.allocate", "Helper.grow", "src/pool.cpp", 4, 1, None),
-    ("use", "calls", "run", "Alloc.size", "src/use.cpp", 4, 1, '{"virt":1}'),
-    ("use", "references", "run", "Fast.allocate", "src/use.cpp", 5, 1, None),
+    ("disc", "inherits", "disc", "shape", "lib/shape.h", 24, 1, '{"acc":"pub"}'),
+    ("ring", "inherits", "ring", "disc", "lib/shape.h", 38, 1, '{"acc":"priv"}'),
+    ("disc", "overrides", "disc.area", "shape.area", "lib/shape.h", 27, 1, None),
+    ("ring", "overrides", "ring.area", "disc.area", "lib/shape.h", 41, 1, None),
+    ("disc", "calls", "disc.area", "square", "lib/disc.cpp", 6, 1, None),
+    ("ring", "calls", "ring.area", "disc.area", "lib/ring.cpp", 7, 1, None),
+    ("ring", "calls", "ring.area", "square", "lib/ring.cpp", 8, 1, None),
+    ("ring", "calls", "ring.area", "hypot", "lib/ring.cpp", 9, 1, None),
+    ("draw", "param_type", "draw", "shape", "bin/draw.cpp", 3, 1, None),
+    ("draw", "calls", "draw", "shape.area", "bin/draw.cpp", 5, 1, '{"virt":1}'),
+    ("draw", "calls", "start", "draw", "bin/draw.cpp", 16, 1, None),
+    ("draw", "references", "start", "scale#d", "bin/draw.cpp", 17, 1, None),
 ]
 
 
@@ -48,45 +60,46 @@ def neighbours(graph, symbols, usr, **k):
 
 
 def test_callers_carry_their_site_and_dispatch(graph, symbols):
-    (r,) = neighbours(graph(), symbols, "Helper.grow")
-    assert (r["other"], r["sites"], r["occurrences"], r["via"]) == ("Fast.allocate", ["src/pool.cpp:4"], None, None)
-    assert neighbours(graph(), symbols, "Alloc.size")[0]["dispatch"] == "virtual"
+    found = {r["other"]: r for r in neighbours(graph(), symbols, "square")}
+    assert {o: r["sites"] for o, r in found.items()} == {"disc.area": ["lib/disc.cpp:6"], "ring.area": ["lib/ring.cpp:8"]}
+    assert all(r["occurrences"] is None and r["via"] is None and r["dispatch"] is None for r in found.values())
+    assert neighbours(graph(), symbols, "shape.area")[0]["dispatch"] == "virtual"
 
 
 def test_two_units_reporting_one_call_report_one_call(graph, symbols):
-    twice = [(tu, "calls", "Fast.allocate", "Alloc.size", "include/iface.h", 31, w, None) for tu, w in (("pool", 2), ("use", 2))]
-    found = {r["other"]: r for r in neighbours(graph(*twice), symbols, "Alloc.size")}
-    assert found["Fast.allocate"]["site_count"] == 1 and found["Fast.allocate"]["occurrences"] == 2 and found["run"]["occurrences"] is None
+    again = [(tu, "calls", "start", "square", "bin/draw.cpp", 18, 3, None) for tu in ("x", "y", "z")]
+    found = {r["other"]: r for r in neighbours(graph(*again), symbols, "square")}
+    assert (found["start"]["site_count"], found["start"]["occurrences"]) == (1, 3) and found["ring.area"]["occurrences"] is None
 
 
 def test_sites_are_counted_exactly_and_shown_in_part(graph, symbols):
-    many = [("pool", "calls", "Fast.allocate", "Alloc.size", "src/pool.cpp", n, 1, None) for n in range(10, 70)]
-    found = {r["other"]: r for r in neighbours(graph(*many), symbols, "Alloc.size", limit=2)}
-    assert set(found) == {"Fast.allocate", "run"} and found["Fast.allocate"]["site_count"] == 60
-    assert found["Fast.allocate"]["sites"] == [f"src/pool.cpp:{n}" for n in range(10, 15)]
+    many = [("draw", "calls", "start", "square", "bin/draw.cpp", n, 1, None) for n in range(100, 140)]
+    every = {r["other"]: r for r in neighbours(graph(*many), symbols, "square", limit=3)}
+    assert every["start"]["site_count"] == 40 and every["start"]["sites"] == [f"bin/draw.cpp:{n}" for n in range(100, 105)]
+    assert [r["other"] for r in neighbours(graph(*many), symbols, "square", limit=1)] == ["disc.area"]
 
 
 def test_references_tell_other_kinds(graph, symbols):
-    via = neighbours(graph(("use", "calls_indirect", "run", "Fast.allocate", "src/use.cpp", 6, 1, None)), symbols, "Fast.allocate", kinds=model.REFERENCES)
+    via = neighbours(graph(("draw", "calls_indirect", "start", "scale#d", "bin/draw.cpp", 19, 1, None)), symbols, "scale#d", kinds=model.REFERENCES)
     assert via[0]["via"] == ["calls_indirect", "references"] and via[0]["site_count"] == 2
 
 
 def test_degree_counts_symbols_not_rows(graph, symbols):
-    more = [(f"t{i}", "calls", "run", "Helper.grow", "src/use.cpp", 9, 1, None) for i in range(5)]
+    more = [(f"t{i}", "calls", "disc.area", "square", "lib/disc.cpp", 7, 1, None) for i in range(3)]
     found = {r["usr"]: r["degree"] for r in edges.degree(graph(*more), symbols).collect()}
-    assert found == {"Helper.grow": 2, "Alloc.size": 1}
+    assert found == {"square": 2, "disc.area": 1, "hypot": 1, "shape.area": 1, "draw": 1}
 
 
 def test_dependencies_list_once_and_total(graph, symbols):
-    more = [(tu, "param_type", "run", "Alloc", "src/use.cpp", 2, 1, None) for tu in ("use", "pool")]
-    rows = edges.dependencies(graph(*more), symbols, per_kind=1).where("usr = 'run'").collect()
-    assert {(r["kind"], r["other"], r["kind_count"], r["total"]) for r in rows} == {("calls", "Alloc.size", 1, 3), ("references", "Fast.allocate", 1, 3), ("param_type", "Alloc", 1, 3)}
+    more = [("other", "calls", "ring.area", "square", "lib/ring.cpp", 8, 1, None)]
+    rows = edges.dependencies(graph(*more), symbols, per_kind=2).where("usr = 'ring.area'").collect()
+    assert {(r["kind"], r["other"], r["kind_count"], r["total"]) for r in rows} == {("calls", "disc.area", 3, 4), ("calls", "square", 3, 4), ("overrides", "disc.area", 1, 4)}
 
 
 def test_fold_drops_selves_and_keeps_the_first_line(spark):
-    rows = [("t", "calls", "a", "b", 1, 9, 1, 0, None), ("t", "calls", "a", "b", 1, 4, 2, 1, "{}"), ("t", "calls", "a", "a", 1, 1, 1, 2, None), ("t", "calls", "", "b", 1, 1, 1, 3, None)]
+    rows = [("u", "uses", "p", "q", 7, 30, 2, 0, "{}"), ("u", "uses", "p", "q", 7, 12, 5, 1, None), ("u", "uses", "q", "q", 7, 3, 1, 2, None), ("u", "uses", "p", "", 7, 4, 1, 3, None), ("w", "uses", "p", "q", 7, 8, 1, 4, None)]
     df = spark.createDataFrame(rows, "tu_id string, kind string, src string, dst string, file_id int, line int, weight long, seq int, flags string")
-    assert [tuple(r) for r in edges.fold(df).collect()] == [("t", "calls", "a", "b", 1, 3, 9, "{}")]
+    assert {tuple(r) for r in edges.fold(df).collect()} == {("u", "uses", "p", "q", 7, 7, 30, "{}"), ("w", "uses", "p", "q", 7, 1, 8, None)}
 
 
 RAW = "tu_id string, usr string, stub int, name string, file_id string, line int, def_file_id string, def_line int, end_line int"
@@ -95,9 +108,10 @@ RAW = "tu_id string, usr string, stub int, name string, file_id string, line int
 @pytest.mark.parametrize(
     "rows, line, end",
     [
-        ([("a", "u", 1, "n", "src/use.cpp", 100, None, None, None), ("b", "u", 0, "n", "src/use.cpp", 7, None, None, None)], 7, None),
-        ([("a", "u", 0, "n", "/usr/sys.h", 9, None, None, None), ("b", "u", 0, "n", "src/use.cpp", 42, None, None, None)], 42, None),
-        ([("a", "u", 0, "n", "include/iface.h", 4, None, None, None), ("b", "u", 0, "n", "include/iface.h", 4, "src/pool.cpp", 90, 95)], 4, 95),
+        ([("m", "k", 1, "n", "lib/shape.h", 3, None, None, None), ("n", "k", 0, "n", "lib/shape.h", 55, None, None, None)], 55, None),  # a full record beats a stub
+        ([("m", "k", 0, "n", "/sdk/math.h", 2, None, None, None), ("n", "k", 0, "n", "bin/draw.cpp", 70, None, None, None)], 70, None),  # the project beats the system
+        ([("m", "k", 0, "n", "lib/shape.h", 27, None, None, None), ("n", "k", 0, "n", "lib/shape.h", 27, "lib/disc.cpp", 4, 9)], 27, 9),  # a definition beats none
+        ([("n", "k", 0, "n", "lib/ring.cpp", 5, None, None, None), ("m", "k", 0, "n", "lib/disc.cpp", 80, None, None, None)], 80, None),  # then the first file
     ],
 )
 def test_merge_precedence(spark, rows, line, end):
@@ -108,93 +122,102 @@ def test_merge_precedence(spark, rows, line, end):
 
 def test_merge_counts_units_once(spark):
     files = spark.createDataFrame(FILES, "file_id string, is_system boolean, in_project boolean")
-    rows = [(tu, "u", s, "n", "src/use.cpp", 1, None, None, None) for tu in "abc" for s in (0, 1)]
+    rows = [(tu, "k", s, "n", "bin/draw.cpp", 5, None, None, None) for tu in ("m", "n", "o", "p") for s in (1, 0)]
     merged = merge.merge_symbols(spark.createDataFrame(rows, RAW), files)
-    assert merged.first()["tu_count"] == 3 and merge.merge_symbols(spark.createDataFrame(rows[::-1], RAW), files).collect() == merged.collect()
+    assert merged.first()["tu_count"] == 4 and merge.merge_symbols(spark.createDataFrame(rows[::-1], RAW), files).collect() == merged.collect()
 
 
 def test_closures_end_on_cycles_and_never_return_the_start(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "a int, b int")
-    starts = spark.createDataFrame([(1,), (5,)], "start int")
-    assert {tuple(r) for r in closure.reach(pairs, starts).collect()} == {(1, 2, 1), (1, 3, 2), (1, 4, 3)}
-    assert {tuple(r) for r in closure.reach(pairs, starts, 1).collect()} == {(1, 2, 1)}
+    pairs = spark.createDataFrame([(9, 1), (1, 2), (2, 4), (4, 1), (2, 3), (3, 3)], "a int, b int")
+    starts = spark.createDataFrame([(9,), (3,), (4,)], "start int")
+    assert {tuple(r) for r in closure.reach(pairs, starts).collect()} == {(9, 1, 1), (9, 2, 2), (9, 4, 3), (9, 3, 3), (4, 1, 1), (4, 2, 2), (4, 3, 3)}
+    assert {tuple(r) for r in closure.reach(pairs, starts, 2).collect()} == {(9, 1, 1), (9, 2, 2), (4, 1, 1), (4, 2, 2)}
 
 
 def test_units_reaching_a_header(spark):
-    includes = spark.createDataFrame([("pool", "iface"), ("use", "mid"), ("mid", "iface"), ("iface", "mid")], "from_file string, to_file string")
-    units = spark.createDataFrame([("pool",), ("use",), ("other",)], "file_id string")
-    wanted = spark.createDataFrame([("iface",), ("other",)], "file_id string")
-    assert {tuple(r) for r in closure.units_reaching(includes, units, wanted).collect()} == {("iface", "pool"), ("iface", "use"), ("other", "other")}
+    includes = spark.createDataFrame([("a.cc", "x.h"), ("x.h", "y.h"), ("y.h", "z.h"), ("z.h", "x.h"), ("b.cc", "w.h")], "from_file string, to_file string")
+    units = spark.createDataFrame([("a.cc",), ("b.cc",), ("c.cc",)], "file_id string")
+    wanted = spark.createDataFrame([("z.h",), ("w.h",), ("c.cc",), ("v.h",)], "file_id string")
+    assert {tuple(r) for r in closure.units_reaching(includes, units, wanted).collect()} == {("z.h", "a.cc"), ("w.h", "b.cc"), ("c.cc", "c.cc")}
 
 
 def test_ancestors_stop_at_missing_records_and_cycles(spark):
-    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "nowhere"), ("e", None)]
+    rows = [("m", "n"), ("n", "m"), ("p", "q"), ("q", "r"), ("r", "lost"), ("t", None)]
     found = closure.ancestors(spark.createDataFrame(rows, "usr string, parent_usr string")).collect()
-    assert {tuple(r) for r in found} == {("a", 1, "b"), ("a", 2, "c"), ("b", 1, "c"), ("b", 2, "a"), ("c", 1, "a"), ("c", 2, "b")}
+    assert {tuple(r) for r in found} == {("m", 1, "n"), ("n", 1, "m"), ("p", 1, "q"), ("p", 2, "r"), ("q", 1, "r")}
 
 
-def test_family_leaves_out_what_is_told(graph, symbols, spark):
-    more = spark.createDataFrame([*SYMBOLS, sym("Faster", "class", "mem::Faster", "", "include/iface.h", 20)], SYM)
-    rows = family.report(graph(("pool", "inherits", "Faster", "Fast", "include/iface.h", 20, 1, None)), more).collect()
-    found = {(r["usr"], r["relation"], r["other"]): r for r in rows}
-    assert found[("Alloc", "derived", "Fast")]["access"] == "public" and ("Alloc", "descendants", "Faster") in found and ("Alloc", "descendants", "Fast") not in found
-    assert ("Faster", "ancestors", "Alloc") in found and ("Alloc.allocate", "overrides", "Fast.allocate") in found
+def test_containers_end_with_what_they_hold_in_their_file(symbols):
+    found = {r["usr"]: r["last_line"] for r in closure.container_end(symbols).collect()}
+    assert found == {"geo": 50, "shape": 8, "disc": 9, "ring": 14}
+    assert [r["usr"] for r in closure.container_end(symbols, starts=symbols.where("usr = 'shape'")).collect()] == ["shape"]
+
+
+def test_family_leaves_out_what_is_told(graph, symbols):
+    found = {(r["usr"], r["relation"], r["other"]): r for r in family.report(graph(), symbols).collect()}
+    assert found[("shape", "derived", "disc")]["access"] == "public" and found[("disc", "derived", "ring")]["access"] == "private"
+    assert ("shape", "descendants", "ring") in found and ("shape", "descendants", "disc") not in found and ("ring", "ancestors", "shape") in found
+    assert ("shape.area", "overrides", "disc.area") in found and ("shape.area", "overrides_indirectly", "ring.area") in found and ("ring.area", "overridden", "disc.area") in found
 
 
 def test_impact_in_three_degrees(graph, symbols):
-    rows = impact.impact(graph(), symbols).collect()
-    found = {(r["origin"], r["bucket"], r["usr"]) for r in rows}
-    assert ("Alloc.allocate", "possible", "Fast.allocate") in found and ("Fast.allocate", "possible", "run") in found and ("Alloc", "direct", "Fast") in found
-    chain = graph(("u", "calls", "run", "Fast.allocate", "src/use.cpp", 6, 1, None))
-    hops = {r["usr"]: (r["bucket"], r["hops"]) for r in impact.impact(chain, symbols).where("origin = 'Helper.grow'").collect()}
-    assert hops == {"Fast.allocate": ("direct", None), "run": ("indirect", 2)}
-    assert not impact.impact(chain, symbols, depth=1).where("bucket = 'indirect'").collect()
+    found = {r["usr"]: (r["bucket"], r["hops"]) for r in impact.impact(graph(), symbols).where("origin = 'shape.area'").collect()}
+    assert found == {"draw": ("direct", None), "start": ("indirect", 2), "disc.area": ("possible", None), "ring.area": ("possible", None)}
+    types = {(r["bucket"], r["usr"]) for r in impact.impact(graph(), symbols).where("origin = 'shape'").collect()}
+    assert {("direct", "disc"), ("direct", "draw"), ("possible", "ring"), ("indirect", "start")} <= types
+    assert not impact.impact(graph(), symbols, depth=1).where("bucket = 'indirect'").collect()
 
 
 def test_impact_says_that_a_list_was_cut(graph, symbols, spark):
-    users = [sym(f"f{i}", "function", f"f{i}", "()", "src/use.cpp", 20 + i) for i in range(8)]
-    more = [("use", "param_type", f"f{i}", "Alloc", "src/use.cpp", 20 + i, 1, None) for i in range(8)]
-    rows = impact.impact(graph(*more), spark.createDataFrame([*SYMBOLS, *users], SYM), limit=3).where("origin = 'Alloc' and bucket = 'direct'").collect()
-    assert len(rows) == 3 and all(r["cut"] for r in rows)
+    users = [sym(f"paint{i}", "function", f"paint{i}", "()", "bin/draw.cpp", 200 + i) for i in range(6)]
+    more = [("draw", "returns", f"paint{i}", "ring", "bin/draw.cpp", 200 + i, 1, None) for i in range(6)]
+    rows = impact.impact(graph(*more), spark.createDataFrame([*SYMBOLS, *users], SYM), limit=4).where("origin = 'ring' and bucket = 'direct'").collect()
+    assert len(rows) == 4 and all(r["cut"] for r in rows)
 
 
 def test_impact_of_changes_leaves_the_changed_out(graph, symbols, spark):
-    changed = spark.createDataFrame([("Helper.grow", 1), ("Fast.allocate", 2)], "usr string, seq int")
+    changed = spark.createDataFrame([("square", 1), ("disc.area", 2)], "usr string, seq int")
     rows = impact.of_changes(graph(), symbols, changed).collect()
-    assert {(r["bucket"], r["usr"], r["because_of"]) for r in rows} == {("possible", "run", "mem::Fast::allocate")}
+    assert {(r["bucket"], r["usr"], r["because_of"]) for r in rows} == {("direct", "ring.area", "geo::square")}
 
 
-def test_spans_belong_to_definitions(spark):
-    one = spark.createDataFrame([sym("m", "method", "m", "()", "include/iface.h", 11, 44, def_file="src/pool.cpp", def_line=40)], SYM)
-    asked = [(1, "src/pool.cpp", 41, 42), (2, "include/iface.h", 11, 11), (3, "include/iface.h", 12, 44), (4, "include/iface.h", 6, 6)]
+def test_spans_belong_to_definitions(spark, symbols):
+    one = symbols.where("usr = 'disc.area'")
+    asked = [(1, "lib/disc.cpp", 5, 7), (2, "lib/shape.h", 27, 27), (3, "lib/shape.h", 28, 33), (4, "lib/disc.cpp", 10, 11)]
     found = ranges.overlaps(spark.createDataFrame(asked, "range_id int, file_id string, start int, end int"), ranges.spans(one)).collect()
     assert {r["range_id"] for r in found} == {1, 2}
 
 
 def test_overlaps_meet_once_across_buckets(spark):
-    spans = spark.createDataFrame([("a", "f", 1, 1000), ("b", "f", 300, 301)], "usr string, file_id string, start int, end int")
-    asked = spark.createDataFrame([(1, "f", 250, 900), (2, "g", 1, 2)], "range_id int, file_id string, start int, end int")
-    assert sorted(r["usr"] for r in ranges.overlaps(asked, spans, bucket=100).collect()) == ["a", "b"]
+    spans = [("all", "p", 1, 5000), ("few", "p", 63, 65), ("far", "p", 4000, 4001), ("other", "q", 1, 5000)]
+    asked = [(1, "p", 10, 3000), (2, "r", 1, 2), (3, "p", 64, 64)]
+    df, own = spark.createDataFrame(asked, "range_id int, file_id string, start int, end int"), spark.createDataFrame(spans, "usr string, file_id string, start int, end int")
+    want = sorted((r, u) for r, f, a, b in asked for u, g, c, d in spans if f == g and a <= d and b >= c)
+    for bucket in (1, 32, 64, 100_000):
+        assert sorted((r["range_id"], r["usr"]) for r in ranges.overlaps(df, own, bucket=bucket).collect()) == want
 
 
 def test_ranges_collapse(spark):
-    df = spark.createDataFrame([(1, 12, 14), (1, 15, 15), (1, 31, 31), (2, 5, 5), (2, 1, 9)], "k int, start int, end int")
-    assert {tuple(r) for r in ranges.collapse(df, "k").collect()} == {(1, "12-15, 31"), (2, "1-9")}
+    df = spark.createDataFrame([("m", 40, 41), ("m", 3, 3), ("m", 42, 50), ("m", 45, 46), ("n", 7, 7), ("n", 9, 9)], "k string, start int, end int")
+    assert {tuple(r) for r in ranges.collapse(df, "k").collect()} == {("m", "3, 40-50"), ("n", "7, 9")}
 
 
 def test_changed_symbols_prefer_the_innermost_container(symbols, spark):
-    asked = [(1, "src/use.cpp", 4, 4), (2, "include/iface.h", 6, 6), (3, "src/use.cpp", 5, 5), (4, "src/use.cpp", 99, 101)]
+    asked = [(1, "bin/draw.cpp", 16, 17), (2, "lib/shape.h", 8, 8), (3, "bin/draw.cpp", 14, 14), (4, "bin/draw.cpp", 60, 62), (5, "lib/shape.h", 52, 52)]
     df = spark.createDataFrame(asked, "range_id int, file_id string, start int, end int")
     rows = ranges.changed_symbols(df, symbols).orderBy("seq").collect()
-    assert [(r["symbol"], r["lines"]) for r in rows] == [("run", "4-5"), ("mem::Allocator::allocate", "6")]
-    assert [tuple(r) for r in ranges.unattributed(df, ranges.spans(symbols)).collect()] == [("src/use.cpp", 3)]
+    assert [(r["symbol"], r["lines"]) for r in rows] == [("main", "14, 16-17"), ("geo::Shape::area", "8"), ("geo", "52")]
+    assert [tuple(r) for r in ranges.unattributed(df, ranges.spans(symbols)).collect()] == [("bin/draw.cpp", 3)]
 
 
 def test_source_context_is_padded_and_clamped(spark):
-    text = "\n".join(f"l{i}" for i in range(1, 11)) + "\n"
-    wanted = spark.createDataFrame([("a", "f", 2, 3), ("b", "f", 9, 12), ("c", "g", 1, 1)], "usr string, path string, first int, last int")
-    rows = {r["usr"]: r for r in ranges.source_context(wanted, spark.createDataFrame([("f", text)], "path string, text string"), 3).collect()}
-    assert rows["a"]["source"].split("\n")[0] == "1: l1" and rows["a"]["end"] == 6 and rows["b"]["error"] and rows["c"]["error"].startswith("cannot")
+    text = "".join(f"row {i}\n" for i in range(1, 16))
+    wanted = spark.createDataFrame([("head", "f", 1, 2), ("tail", "f", 14, 15), ("old", "f", 15, 16), ("gone", "g", 1, 1), ("big", "h", 5, 400)], "usr string, path string, first int, last int")
+    sources = spark.createDataFrame([("f", text), ("h", "y\n" * 500)], "path string, text string")
+    rows = {r["usr"]: r for r in ranges.source_context(wanted, sources, 4).collect()}
+    assert (rows["head"]["start"], rows["head"]["end"]) == (1, 6) and rows["head"]["source"].split("\n")[-1] == "6: row 6"
+    assert (rows["tail"]["start"], rows["tail"]["end"]) == (10, 15) and "15 lines" in rows["old"]["error"] and rows["gone"]["error"].startswith("cannot read")
+    assert rows["big"]["truncated"] and (rows["big"]["start"], rows["big"]["end"]) == (5, 204)
 
 
 def resolved(spark, symbols, *references):
@@ -207,16 +230,18 @@ def resolved(spark, symbols, *references):
 
 
 def test_resolution_stages(spark, symbols):
-    found = resolved(spark, symbols, "Alloc", "src/other.cpp:4", "other.cpp:4-9", "Buffer::allocate(double)", "allocate", "Fast::allocate", "ALLOC", "a%e", "none")
-    assert found["Alloc"] == [(1, "Alloc")] and found["src/other.cpp:4"] == found["other.cpp:4-9"] == [(2, "Buffer.allocate#d")]
-    assert found["Buffer::allocate(double)"] == [(3, "Buffer.allocate#d")] and len(found["allocate"]) == 4 and {s for s, _ in found["allocate"]} == {3}
-    assert found["Fast::allocate"] == [(4, "Fast.allocate")] and {s for s, _ in found["ALLOC"]} == {5} and len(found["ALLOC"]) == 5 and found["a%e"] and not found["none"]
+    found = resolved(spark, symbols, "disc.area", "bin/draw.cpp:23", "draw.cpp:23-30", "scale(double)", "scale", "area", "Disc::area", "DRA", "R_ng", "hypo", "nothing")
+    assert found["disc.area"] == [(1, "disc.area")] and found["bin/draw.cpp:23"] == found["draw.cpp:23-30"] == [(2, "scale#d")]
+    assert found["scale(double)"] == [(3, "scale#d")] and sorted(found["scale"]) == [(3, "scale#d"), (3, "scale#i")]
+    assert sorted(found["area"]) == [(3, "disc.area"), (3, "ring.area"), (3, "shape.area")] and found["Disc::area"] == [(4, "disc.area")]
+    assert found["DRA"] == [(5, "draw")] and found["R_ng"] == [(4, "ring")] and found["hypo"] == [(5, "hypot")] and not found["nothing"]
 
 
 def test_files_are_found_by_suffix(spark):
-    known = spark.createDataFrame([(f[0],) for f in FILES] + [("deep/src/pool.cpp",), ("/r/x.c",)], "path string")
-    asked = spark.createDataFrame([("pool.cpp",), ("src/pool.cpp",), ("x.c",), ("ol.cpp",)], "wanted string")
-    assert {tuple(r) for r in resolve.files(asked, known, "/r").collect()} == {("pool.cpp", "src/pool.cpp"), ("src/pool.cpp", "src/pool.cpp"), ("x.c", "/r/x.c")}
+    known = spark.createDataFrame([(f[0],) for f in FILES] + [("old/lib/ring.cpp",), ("/w/notes.h",)], "path string")
+    asked = spark.createDataFrame([("ring.cpp",), ("lib/ring.cpp",), ("notes.h",), ("ing.cpp",), ("./bin/draw.cpp",)], "wanted string")
+    found = {tuple(r) for r in resolve.files(asked, known, "/w").collect()}
+    assert {("ring.cpp", "lib/ring.cpp"), ("lib/ring.cpp", "lib/ring.cpp"), ("notes.h", "/w/notes.h")} <= found and "ing.cpp" not in {w for w, _ in found}
 
 
 def test_accuracy_takes_the_best_source(spark):
