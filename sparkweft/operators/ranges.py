@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweft import model
 from sparkweft.functions import expr
+from sparkweft.session import durable
 
 #: Lines of a bucket of the overlap join: a span and a range meet in the buckets that both touch.
 BUCKET = 32
@@ -45,17 +46,20 @@ def innermost(ranges: DataFrame, found: DataFrame, containers: tuple[str, ...] =
 
     Adds is_container; ranges that meet nothing are not in the result.
     """
-    inside = F.col("kind").isin(*containers)
-    hits = overlaps(ranges, found).withColumn("is_container", F.coalesce(inside, F.lit(False)))
+    inside = F.coalesce(F.col("kind").isin(*containers), F.lit(False)).alias("is_container")
+    # numbered in the order that settles ties, so hits are a few numbers each; checkpointed, so the numbers hold
+    numbered = durable(found.select("*", inside).orderBy("kind", "name", "usr", "start").withColumn("__n", F.monotonically_increasing_id()))
+    hits = overlaps(ranges.select("range_id", "file_id", "start", "end"), numbered.select("__n", "file_id", "start", "end", "is_container"))
     order = F.struct(
         F.when(F.col("is_container"), 0).otherwise(1).alias("a"),
         F.when(F.col("is_container"), F.col("end") - F.col("start")).otherwise(F.col("start")).alias("b"),
         F.when(~F.col("is_container"), F.col("end")).alias("c"),
-        F.col("kind").alias("d"), F.col("name").alias("e"), F.col("usr").alias("f"), F.col("start").alias("g"),
-    )
-    # the least hit is a partial aggregate: hits are neither exchanged nor sorted
-    rest = [c for c in hits.columns if c != "range_id"]
-    return hits.groupBy("range_id").agg(F.min_by(F.struct(*rest), order).alias("__hit")).select("range_id", "__hit.*")
+        "__n",
+    )
+    # the least hit is a partial aggregate: hits are not exchanged
+    best = hits.groupBy("range_id").agg(F.min(order).alias("__hit")).select("range_id", "__hit.__n")
+    asked = ranges.select("range_id", *(F.col(c).alias(f"r_{c}") for c in ranges.columns if c not in ("range_id", "file_id")))
+    return best.join(numbered, "__n").join(asked, "range_id").drop("__n")
 
 
 def unattributed(ranges: DataFrame, found: DataFrame) -> DataFrame:

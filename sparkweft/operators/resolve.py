@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions import expr
@@ -23,6 +23,29 @@ def files(spellings: DataFrame, known: DataFrame, root: str = "") -> DataFrame:
     return both.withColumn("__r", F.row_number().over(order)).where("__r = 1").select("wanted", "path")
 
 
+def _literal(pattern: Column) -> Column:
+    """The longest run of a LIKE pattern without wildcards, lower-cased: whatever the pattern matches holds it."""
+    runs = F.split(expr.ascii_lower(pattern), "[%_]")
+    return F.aggregate(runs, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+
+
+def containing(patterns: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """patterns (__name, ...) with the names whose column holds __name's literal run: an equi-join on its first three characters.
+
+    A run of less than three characters, down to none, is its own key, so the join is never a product of the two sides.
+    """
+    text = expr.ascii_lower(F.coalesce(F.col(column), F.lit("")))
+    size = F.length(text)
+    grams = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - (k - 1)), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+    asked = patterns.withColumn("__key", F.substring(_literal(F.col("__name")), 1, 3))
+    # only lengths that are asked for are listed
+    lengths = sorted(r[0] for r in asked.select(F.length("__key").alias("k")).distinct().collect())
+    if not lengths:
+        return asked.drop("__key").join(names, F.lit(False))
+    every = F.array_distinct(F.concat(*(grams(k) if k else F.array(F.lit("")) for k in lengths)))
+    return asked.join(names.withColumn("__key", F.explode(every)), "__key").drop("__key")
+
+
 def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """reference, stage, rank, usr: the candidates of the first stage that has any.
 
@@ -49,8 +72,7 @@ def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None
     ends_with = expr.like(F.col("qualified"), F.concat(F.lit("%::"), F.col("__name")))
     plain = asked.where(~open_pattern).withColumn("__tail", tail(F.col("__name"))).join(row.withColumn("__tail", tail(F.col("qualified"))), "__tail").where(ends_with & fits)
     parts.append(plain.select("reference", "usr", F.lit(4).alias("stage")))
-    # live wildcards have no key to join by: the spellings that hold one, or reach the last stage, scan the names
-    wild = asked.where(open_pattern).join(row, ends_with & fits)
+    wild = containing(asked.where(open_pattern), row, "qualified").where(ends_with & fits)
     parts.append(wild.select("reference", "usr", F.lit(4).alias("stage")))
     found = parts[0]
     for part in parts[1:]:
@@ -58,7 +80,7 @@ def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None
     # only spellings that nothing above settled reach the scan of all names
     found = durable(found.distinct())
     left = durable(asked.join(found.select("reference").distinct(), "reference", "left_anti"))
-    found = found.unionByName(left.join(row, expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage"))).distinct()
+    found = found.unionByName(containing(left, row, "name").where(expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage"))).distinct()
     first = Window.partitionBy("reference")
     found = found.withColumn("__first", F.min("stage").over(first)).where("stage = __first").drop("__first")
     label = expr.first_filled("qualified", "name")
