@@ -42,6 +42,13 @@ def bounded(edges: DataFrame, symbols: DataFrame, kinds: Sequence[str], directio
     return reach(pairs, starts, most).join(symbols.select(F.col("usr").alias("node")), "node", "left_semi")
 
 
+def direct(includes: DataFrame, direction: str = "out") -> DataFrame:
+    """Distinct direct includes (from_file, to_file, line, angled), or distinct includers (file, includer)."""
+    if direction == "out":
+        return includes.select("from_file", "to_file", "line", "angled").distinct()
+    return includes.select(F.col("to_file").alias("file"), F.col("from_file").alias("includer")).distinct()
+
+
 def files(includes: DataFrame, starts: DataFrame, direction: str = "out") -> DataFrame:
     """start, node, level over files, without a bound; 'out' follows includes, 'in' includers."""
     a, b = ("from_file", "to_file") if direction == "out" else ("to_file", "from_file")

@@ -118,3 +118,17 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
 
 def kind_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def having(symbols: DataFrame, edges: DataFrame, kinds: Sequence[str], direction: str = "in", negate: bool = False) -> DataFrame:
+    """usr of the symbols with an edge of these kinds, or without one."""
+    near, _ = ends(direction)
+    ended = edges.where(F.col("kind").isin(*kinds)).select(F.col(near).alias("usr"))
+    return symbols.select("usr").join(ended, "usr", "left_anti" if negate else "left_semi")
+
+
+def busiest(edges: DataFrame, symbols: DataFrame, kinds: Sequence[str], direction: str = "in", most: int = 1) -> DataFrame:
+    """usr, edges of the symbols with the most edges of these kinds, by usr where equal."""
+    near, _ = ends(direction)
+    known = edges.where(F.col("kind").isin(*kinds)).select(F.col(near).alias("usr")).join(symbols.select("usr"), "usr", "left_semi")
+    return known.groupBy("usr").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "usr").limit(most)

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 LAST = 2**31 - 1
 
 
+def once_per_unit(raw: DataFrame) -> DataFrame:
+    """Of what a unit reports of a symbol (tu_id, usr, stub, file_id, line, ...) the full record, if there is one, else the stub; the first by place of equals."""
+    order = F.struct("stub", F.col("file_id"), F.col("line"), F.struct(*(c for c in raw.columns if c not in ("tu_id", "usr"))))
+    kept = [c for c in raw.columns if c not in ("tu_id", "usr")]
+    return raw.groupBy("tu_id", "usr").agg(F.min_by(F.struct(*kept), order).alias("__best")).select("tu_id", "usr", "__best.*")
+
+
 def merge_symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
     """raw: tu_id, usr, stub, file_id, line, def_file_id and any further columns; files: file_id, is_system, in_project.
 

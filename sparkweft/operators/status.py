@@ -52,3 +52,14 @@ def distribution(values: DataFrame, column: str) -> DataFrame:
     n = held.count()  # the position must be a constant of the aggregate
     at = (max(int(n * 0.95), 1) - 1) / max(n - 1, 1)
     return held.agg(F.percentile(column, F.lit(0.5)).alias("median"), F.percentile(column, F.lit(at)).alias("p95"), F.max(column).alias("most"))
+
+
+def duplicates(rows: DataFrame, column: str) -> DataFrame:
+    """The column's values that more than one row holds, with their number ``n``."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def problems_by_unit(diags: DataFrame) -> DataFrame:
+    """tu, problems, errors: diagnostics of warning and above, and those that are errors, of each unit that has any."""
+    kept = diags.where(F.col("severity").isin(*model.SEVERITIES))
+    return kept.groupBy("tu").agg(F.count(F.lit(1)).alias("problems"), F.count_if(F.col("severity") != "warning").alias("errors"))

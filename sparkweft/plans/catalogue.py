@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from sparkweft import model
 from sparkweft.functions import expr
 from sparkweft.operators import closure, edges, family, impact, merge, ranges, resolve, status
 from sparkweft.plans.views import load, with_views
-from sparkweft.sources import facts
+from sparkweft.session import shared_folder
+from sparkweft.sources import facts, git
+from sparkweft.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,11 +38,12 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query("""
-SELECT tu_id, kind, src, dst, file_id, CAST(sum(weight) AS BIGINT) AS weight, arg_min(line, line)::BIGINT AS line
-FROM v_edge GROUP BY ALL""")
+SELECT tu_id, kind, src, dst, file_id, CAST(sum(weight) AS BIGINT) AS weight, arg_min(line, line)::BIGINT AS line,
+  arg_min(flags, line) FILTER (flags IS NOT NULL) AS flags
+FROM v_edge GROUP BY tu_id, kind, src, dst, file_id""")
 def edge_fold(spark, sf):
     (found,) = load(spark, sf, "v_edge")
-    return longs(edges.fold(found.withColumn("seq", F.col("line"))).select("tu_id", "kind", "src", "dst", "file_id", "weight", "line"), "line")
+    return longs(edges.fold(found.withColumn("seq", F.col("line"))).select("tu_id", "kind", "src", "dst", "file_id", "weight", "line", "flags"), "line")
 
 
 @query("""
@@ -79,7 +83,7 @@ shown AS (SELECT usr, other, string_agg(site, ', ' ORDER BY line, site) AS sites
 folded AS (
   SELECT usr, other, CAST(sum(CASE WHEN coalesce(weight, 0) = 0 THEN 1 ELSE weight END) AS BIGINT) AS weight,
     count(DISTINCT concat(file_id, ':', line)) AS site_count, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
-    bool_or(coalesce(flags LIKE '%virt%', false)) AS virt, bool_or(coalesce(flags LIKE '%pure%', false)) AS pure FROM ev GROUP BY ALL)
+    bool_or(coalesce(flags LIKE '%"virt"%', false)) AS virt, bool_or(coalesce(flags LIKE '%pure%', false)) AS pure FROM ev GROUP BY ALL)
 SELECT usr, other, weight, site_count, sites, CASE WHEN weight > site_count THEN weight END AS occurrences,
   CASE WHEN kinds <> '{first}' THEN kinds END AS via, CASE WHEN pure THEN 'pure virtual' WHEN virt THEN 'virtual' END AS dispatch
 FROM folded JOIN shown USING (usr, other)"""
@@ -144,21 +148,19 @@ SELECT s.usr, count(*) AS callers FROM v_edge e JOIN v_sym s ON s.usr = e.dst WH
 GROUP BY s.usr ORDER BY callers DESC, s.usr LIMIT 1""")
 def busiest_symbol(spark, sf):
     found, symbols = load(spark, sf, "v_edge", "v_sym")
-    known = found.where("kind = 'calls'").join(symbols.select(F.col("usr").alias("dst")), "dst", "left_semi")
-    counted = known.groupBy(F.col("dst").alias("usr")).agg(F.count(F.lit(1)).alias("callers"))
-    return counted.orderBy(F.desc("callers"), "usr").limit(1)
+    return edges.busiest(found, symbols, ("calls",)).withColumnRenamed("edges", "callers")
 
 
 @query("SELECT usr FROM v_sym s WHERE EXISTS (SELECT 1 FROM v_edge e WHERE e.dst = s.usr AND e.kind = 'calls')")
 def has_calls_semi(spark, sf):
     found, symbols = load(spark, sf, "v_edge", "v_sym")
-    return symbols.select("usr").join(found.where("kind = 'calls'").select(F.col("dst").alias("usr")), "usr", "left_semi")
+    return edges.having(symbols, found, ("calls",))
 
 
-@query("SELECT usr FROM v_sym s WHERE NOT EXISTS (SELECT 1 FROM v_edge e WHERE e.dst = s.usr AND e.kind = 'calls')")
+@query("SELECT usr FROM v_sym s WHERE NOT EXISTS (SELECT 1 FROM v_edge e WHERE e.src = s.usr AND e.kind IN ('inherits', 'overrides'))")
 def no_calls_anti(spark, sf):
     found, symbols = load(spark, sf, "v_edge", "v_sym")
-    return symbols.select("usr").join(found.where("kind = 'calls'").select(F.col("dst").alias("usr")), "usr", "left_anti")
+    return edges.having(symbols, found, ("inherits", "overrides"), "out", negate=True)
 
 
 # --- walks -------------------------------------------------------------------------------------
@@ -211,13 +213,13 @@ def tus_reaching(spark, sf):
 @query("SELECT DISTINCT from_file, to_file, line, angled FROM v_inc")
 def direct_includes(spark, sf):
     (includes,) = load(spark, sf, "v_inc")
-    return includes.select("from_file", "to_file", "line", "angled").distinct()
+    return closure.direct(includes)
 
 
 @query("SELECT DISTINCT to_file AS file, from_file AS includer FROM v_inc")
 def direct_includers(spark, sf):
     (includes,) = load(spark, sf, "v_inc")
-    return includes.select(F.col("to_file").alias("file"), F.col("from_file").alias("includer")).distinct()
+    return closure.direct(includes, "in")
 
 
 @query("""
@@ -235,17 +237,17 @@ def members_of(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT usr, kind, parent_usr, 1 AS file_id, coalesce(end_line, line) AS e FROM v_sym),
-l0 AS (SELECT p.usr, m.usr AS member, m.kind, m.e FROM s p JOIN s m ON m.parent_usr = p.usr),
-l1 AS (SELECT l.usr, m.usr AS member, m.kind, m.e FROM l0 l JOIN s m ON m.parent_usr = l.member WHERE l.kind = 'namespace'),
-l2 AS (SELECT l.usr, m.usr AS member, m.kind, m.e FROM l1 l JOIN s m ON m.parent_usr = l.member WHERE l.kind = 'namespace'),
-l3 AS (SELECT l.usr, m.usr AS member, m.kind, m.e FROM l2 l JOIN s m ON m.parent_usr = l.member WHERE l.kind = 'namespace'),
-l4 AS (SELECT l.usr, m.usr AS member, m.kind, m.e FROM l3 l JOIN s m ON m.parent_usr = l.member WHERE l.kind = 'namespace')
+WITH s AS (SELECT usr, kind, parent_usr, file_id % 3 AS f, coalesce(end_line, line) AS e FROM v_sym),
+l0 AS (SELECT p.usr, p.f, m.usr AS member, m.kind, m.e FROM s p JOIN s m ON m.parent_usr = p.usr AND m.f = p.f),
+l1 AS (SELECT l.usr, l.f, m.usr AS member, m.kind, m.e FROM l0 l JOIN s m ON m.parent_usr = l.member AND m.f = l.f WHERE l.kind = 'namespace'),
+l2 AS (SELECT l.usr, l.f, m.usr AS member, m.kind, m.e FROM l1 l JOIN s m ON m.parent_usr = l.member AND m.f = l.f WHERE l.kind = 'namespace'),
+l3 AS (SELECT l.usr, l.f, m.usr AS member, m.kind, m.e FROM l2 l JOIN s m ON m.parent_usr = l.member AND m.f = l.f WHERE l.kind = 'namespace'),
+l4 AS (SELECT l.usr, l.f, m.usr AS member, m.kind, m.e FROM l3 l JOIN s m ON m.parent_usr = l.member AND m.f = l.f WHERE l.kind = 'namespace')
 SELECT usr, max(e)::BIGINT AS last_line FROM (SELECT usr, e FROM l0 UNION ALL SELECT usr, e FROM l1 UNION ALL SELECT usr, e FROM l2
   UNION ALL SELECT usr, e FROM l3 UNION ALL SELECT usr, e FROM l4) GROUP BY usr""")
 def container_end(spark, sf):
     (symbols,) = load(spark, sf, "v_sym")
-    return closure.container_end(symbols.withColumn("file_id", F.lit(1)))
+    return closure.container_end(symbols.withColumn("file_id", F.col("file_id") % 3))  # few files, so that members share them
 
 
 # --- families and impact -----------------------------------------------------------------------
@@ -259,9 +261,13 @@ _FAR = """
 
 
 def _family_sql(depth: int) -> str:
-    rel = "SELECT DISTINCT {near} AS usr, '{name}' AS relation, {far} AS other FROM v_edge WHERE kind = '{kind}' AND {near} IN (SELECT usr FROM v_sym)"
+    word = """CASE WHEN flags LIKE '%"pub"%' THEN 'public' WHEN flags LIKE '%"priv"%' THEN 'private' WHEN flags LIKE '%"prot"%' THEN 'protected' END"""
+    rel = (
+        "SELECT {near} AS usr, '{name}' AS relation, {far} AS other, max({word}) AS access, bool_or(coalesce(flags LIKE '%\"virtual\"%', false)) AS is_virtual"
+        " FROM v_edge WHERE kind = '{kind}' AND {near} IN (SELECT usr FROM v_sym) GROUP BY {near}, {far}"
+    )
     parts = [("bases", "inherits", "src", "dst"), ("derived", "inherits", "dst", "src"), ("overrides", "overrides", "dst", "src"), ("overridden", "overrides", "src", "dst")]
-    plain = " UNION ALL ".join(rel.format(name=n, kind=k, near=a, far=b) for n, k, a, b in parts)
+    plain = " UNION ALL ".join(rel.format(name=n, kind=k, near=a, far=b, word=word) for n, k, a, b in parts)
     far = [("ancestors", "inherits", "src", "dst", "'bases'"), ("descendants", "inherits", "dst", "src", "'bases', 'derived'"), ("overrides_indirectly", "overrides", "dst", "src", "'overrides'")]
     return f"""
 WITH RECURSIVE names AS ({_NAMED}),
@@ -269,15 +275,16 @@ plain AS (SELECT p.*, n.name FROM ({plain}) p JOIN names n USING (other)),
 template AS (SELECT e.dst AS usr, 'derived' AS relation, min(e.src) AS other, n.name FROM v_edge e JOIN names n ON n.other = e.src
   WHERE e.kind = 'instantiates' AND e.dst IN (SELECT usr FROM v_sym)
     AND NOT EXISTS (SELECT 1 FROM plain k WHERE k.usr = e.dst AND k.relation = 'derived' AND k.name = n.name) GROUP BY e.dst, n.name),
-direct AS (SELECT usr, relation, other, name, false AS via_template FROM plain UNION ALL SELECT usr, relation, other, name, true FROM template),
+direct AS (SELECT usr, relation, other, name, access, is_virtual, false AS via_template FROM plain
+  UNION ALL SELECT usr, relation, other, name, CAST(NULL AS VARCHAR), false, true FROM template),
 {", ".join(_FAR.format(name=n, kind=k, a=a, b=b, told=t, depth=depth) for n, k, a, b, t in far)},
-family AS (SELECT usr, relation, other, via_template FROM direct
-  {" ".join(f"UNION ALL SELECT usr, relation, other, false FROM {f[0]}" for f in far)})"""
+family AS (SELECT usr, relation, other, access, is_virtual, via_template FROM direct
+  {" ".join(f"UNION ALL SELECT usr, relation, other, CAST(NULL AS VARCHAR), false, false FROM {f[0]}" for f in far)})"""
 
 
 @query(_family_sql(8) + " SELECT * FROM family")
 def inheritance_report(spark, sf):
-    return family.report(*load(spark, sf, "v_edge", "v_sym")).select("usr", "relation", "other", "via_template")
+    return family.report(*load(spark, sf, "v_edge", "v_sym"))
 
 
 def _impact_sql() -> str:
@@ -403,15 +410,20 @@ def changed_symbols(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-t AS (SELECT doc_id, max(n) AS total FROM l GROUP BY doc_id)
-SELECT doc_id AS usr, string_agg(concat(n, ': ', line), chr(10) ORDER BY n) AS source FROM l JOIN t USING (doc_id)
-WHERE n BETWEEN 1 AND 4 AND total >= 2 GROUP BY doc_id""")
+WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, lines, len(lines) AS total, len(lines) // 2 + 1 AS first, len(lines) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS last FROM d),
+r AS (SELECT *, CASE WHEN last - first + 1 >= 6 THEN first ELSE greatest(1, first - least(2, 6 - (last - first + 1))) END AS s,
+  CASE WHEN last - first + 1 >= 6 THEN first + 5 ELSE least(total, last + least(2, 6 - (last - first + 1))) END AS e FROM w)
+SELECT doc_id AS usr, last - first + 1 >= 6 AS truncated, CASE WHEN last > total THEN concat(doc_id, ' has ', total, ' lines; the index is older') END AS error,
+  CASE WHEN last <= total THEN array_to_string(list_transform(range(s, e + 1), lambda n: concat(n, ': ', lines[n])), chr(10)) END AS source FROM r""")
 def source_region(spark, sf):
+    """The second half of every text, in regions of six lines at most; every fifth is asked for a line too many."""
     (documents,) = load(spark, sf, "documents")
     sources = documents.select(F.col("doc_id").cast("string").alias("path"), "text")
-    wanted = documents.select(F.col("doc_id").alias("usr"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("first"), F.lit(2).alias("last"))
-    return ranges.source_context(wanted, sources, context=2).where("error is null").select("usr", "source")
+    total = F.size(F.split(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n$", ""), "\n", -1))
+    last = total + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    wanted = documents.select(F.col("doc_id").alias("usr"), F.col("doc_id").cast("string").alias("path"), (F.floor(total / 2) + 1).cast("int").alias("first"), last.alias("last"))
+    return ranges.source_context(wanted, sources, context=2, most=6).select("usr", "truncated", "error", "source")
 
 
 # --- resolution --------------------------------------------------------------------------------
@@ -542,24 +554,140 @@ def location_render(spark, sf):
     return named.select("file_id", "line", expr.location(expr.relative(F.col("path"), "/src"), F.col("line")).alias("place"))
 
 
+def _facts(spark: SparkSession, **tables: DataFrame) -> facts.Facts:
+    """Facts with these tables; columns that they lack are null, tables that they lack empty."""
+
+    def whole(name: str, schema: str) -> DataFrame:
+        empty = spark.createDataFrame([], schema)
+        df = tables.get(name)
+        return empty if df is None else df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema))
+
+    parts = {"units": model.TU, "files": model.FILE, "symbols": model.RAW_SYMBOL, "edges": model.RAW_EDGE, "includes": model.RAW_INCLUDE, "diagnostics": model.RAW_DIAG}
+    return facts.Facts(**{name: whole(name, schema) for name, schema in parts.items()})
+
+
+def _store(spark: SparkSession) -> Store:
+    """A new store in the shared folder."""
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+
+
 @query("""
-SELECT doc_id, sha256(text) AS stamp FROM documents d
-WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 10 <> 0 AND e.doc_id = d.doc_id AND sha256(e.text) = sha256(d.text))""")
+SELECT d.doc_id, sha256(concat(text, chr(0), '7')) AS stamp FROM documents d
+WHERE doc_id % 10 = 0 OR lang = 'fr'""")
 def stamp_incremental(spark, sf):
-    """An earlier snapshot lacks every tenth unit: those are stale."""
+    """An earlier index lacks every tenth unit and knows other contents of those in one language: these are stale."""
     (documents,) = load(spark, sf, "documents")
-    now = documents.select("doc_id", F.sha2("text", 256).alias("stamp"))
-    return now.join(now.where("doc_id % 10 != 0"), ["doc_id", "stamp"], "left_anti")
+    stamped = lambda text: documents.select("doc_id", "lang", F.concat(F.lit("/d/"), "doc_id").alias("tu"), expr.stamp(F.encode(text, "utf-8"), F.lit("7")).alias("stamp"))
+    before = stamped(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    store = _store(spark)
+    store.ingest(_facts(spark, units=before.where("doc_id % 10 != 0").select("tu", "stamp")))
+    return store.stale(stamped(F.col("text"))).select("doc_id", "stamp")
+
+
+def _reported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    raw, orders = load(spark, sf, "v_raw", "orders")
+    shown = raw.select(F.col("tu_id").cast("string").alias("tu"), F.col("usr").cast("string").alias("usr"), "line")
+    return shown, orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("tu"))
 
 
 @query("""
 SELECT tu_id, usr, line FROM v_raw WHERE tu_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
 UNION ALL SELECT tu_id, usr, line + 100 FROM v_raw WHERE tu_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def replace_by_tu(spark, sf):
-    raw, orders = load(spark, sf, "v_raw", "orders")
-    again = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("tu_id"))
-    new = raw.join(again, "tu_id", "left_semi").select("tu_id", "usr", (F.col("line") + 100).alias("line"))
-    return raw.join(again, "tu_id", "left_anti").select("tu_id", "usr", "line").unionByName(new)
+    """A store takes all units, then some of them again."""
+    raw, again = _reported(spark, sf)
+    store = _store(spark)
+    store.ingest(_facts(spark, units=raw.select("tu").distinct(), symbols=raw))
+    new = raw.join(again, "tu", "left_semi").withColumn("line", F.col("line") + 100)
+    store.ingest(_facts(spark, units=new.select("tu").distinct(), symbols=new))
+    return store.table("symbol").select(F.col("tu").cast("long").alias("tu_id"), F.col("usr").cast("long").alias("usr"), "line")
+
+
+@query("SELECT tu_id, usr, line FROM v_raw WHERE tu_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def drop_tu(spark, sf):
+    raw, gone = _reported(spark, sf)
+    store = _store(spark)
+    store.ingest(_facts(spark, units=raw.select("tu").distinct(), symbols=raw))
+    store.drop(gone)
+    return store.table("symbol").select(F.col("tu").cast("long").alias("tu_id"), F.col("usr").cast("long").alias("usr"), "line")
+
+
+@query("""
+WITH m AS (SELECT o_orderpriority AS key, o_custkey AS value, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS r FROM orders)
+SELECT key, value::VARCHAR AS value FROM m WHERE r = 1""")
+def meta_upsert(spark, sf):
+    """Each priority's last order, set after its first."""
+    (orders,) = load(spark, sf, "orders")
+    ends = orders.groupBy("o_orderpriority").agg(F.min_by("o_custkey", "o_orderkey").alias("a"), F.max_by("o_custkey", "o_orderkey").alias("b")).collect()  # a row a priority
+    store = _store(spark)
+    store.set_meta(**{r["o_orderpriority"]: r["a"] for r in ends})
+    store.set_meta(**{r["o_orderpriority"]: r["b"] for r in ends})
+    return store.meta()
+
+
+@query("""
+WITH ranked AS (
+  SELECT r.*, row_number() OVER (PARTITION BY tu_id, usr ORDER BY stub, file_id NULLS FIRST, line, def_file_id NULLS FIRST) AS rn FROM v_raw r)
+SELECT tu_id, usr, stub, def_file_id, file_id, line FROM ranked WHERE rn = 1""")
+def stub_upgrade(spark, sf):
+    (raw,) = load(spark, sf, "v_raw")
+    return merge.once_per_unit(raw)
+
+
+@query("SELECT file_id AS tu, count(*) AS problems, count(*) FILTER (severity <> 'warning') AS errors FROM v_diag WHERE severity IN ('error', 'fatal', 'warning') GROUP BY file_id")
+def problems_by_unit(spark, sf):
+    (diags,) = load(spark, sf, "v_diag")
+    return status.problems_by_unit(diags.withColumnRenamed("file_id", "tu"))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_values(spark, sf):
+    return status.duplicates(*load(spark, sf, "documents"), "text")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT s.usr, concat(f.path, ':', s.line) AS reference FROM v_sym s JOIN v_file f USING (file_id)),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY reference ORDER BY (NOT in_project)::INT, stub, length(qualified), qualified, usr) AS rank FROM p JOIN v_sym USING (usr))
+SELECT reference, 2::BIGINT AS stage, usr, rank FROM r""")
+def resolve_places(spark, sf):
+    """Every symbol asked for by its place."""
+    symbols, files = load(spark, sf, "v_sym", "v_file")
+    places = symbols.join(files.select("file_id", "path"), "file_id").select("usr", "path", "line")
+    return resolve.cascade(places.select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("reference")), symbols, places)
+
+
+@query("""
+SELECT DISTINCT concat('f', l_suppkey) AS path, l_linenumber AS "start", l_linenumber + CAST(l_quantity AS INT) % 4 AS "end" FROM lineitem""")
+def patch_ranges(spark, sf):
+    """A patch an order, a file a line item; some added lines look like file headers."""
+    (items,) = load(spark, sf, "lineitem")
+    name, added = F.concat(F.lit("f"), "l_suppkey"), (F.col("l_quantity").cast("int") % 4 + 1)
+    heads = [F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name), F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name)]
+    hunk = F.concat(F.lit("@@ -"), F.col("l_linenumber").cast("string"), F.lit(",2 +"), F.col("l_linenumber").cast("string"), F.lit(","), added.cast("string"), F.lit(" @@ f"))
+    lines = F.concat(F.array(*heads, hunk, F.lit("--- a/decoy"), F.lit("-x")), F.transform(F.sequence(F.lit(1), added), lambda i: F.when(i == 1, F.lit("+++ b/decoy")).otherwise(F.lit("+y"))))
+    shown = items.select(F.col("l_orderkey").alias("diff"), "l_linenumber", F.posexplode(lines).alias("at", "line"))
+    found = git.ranges(shown.select("diff", (F.col("l_linenumber") * 100 + F.col("at")).alias("seq"), "line"))
+    return found.distinct()
+
+
+@query("""
+SELECT concat('/o/', l_orderkey) AS tu, concat('p', l_partkey) AS usr, concat('/r/s', l_suppkey, '.h') AS file, l_linenumber AS line,
+  CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS stub FROM lineitem WHERE l_orderkey % 5 <> 0""")
+def fact_records(spark, sf):
+    """A stream an order, a symbol a line item, files by ids of the stream; every fifth stream is cut."""
+    (items,) = load(spark, sf, "lineitem")
+    order, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    file = (F.col("l_linenumber") * 100_000 + F.col("l_suppkey")).cast("string")
+    line = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    own = F.array(
+        line('{"t":"f","i":', file, ',"p":"x/../s', F.col("l_suppkey").cast("string"), '.h"}'),
+        line('{"t":"sym","u":"p', F.col("l_partkey").cast("string"), '","k":"function","n":"f","f":', file, ',"l":', n, ',"stub":', F.when(F.col("l_returnflag") == "N", "1").otherwise("0"), "}"),
+    )
+    rows = items.select(order.alias("stream"), F.posexplode(own).alias("at", "line"), "l_linenumber").select("stream", (F.col("l_linenumber") * 2 + F.col("at")).alias("seq"), "line")
+    heads = items.select("l_orderkey").distinct().select(order.alias("stream"), F.lit(0).alias("seq"), line('{"t":"meta","k":"tu","v":"/o/', order, '"}').alias("line"))
+    ends = items.where("l_orderkey % 5 != 0").select("l_orderkey").distinct().select(order.alias("stream"), F.lit(1 << 20).alias("seq"), F.lit('{"t":"done"}').alias("line"))
+    found, _ = facts.decode(heads.unionByName(rows).unionByName(ends), "/r")
+    return found.symbols.select("tu", "usr", "file", "line", "stub")
 
 
 @query("""

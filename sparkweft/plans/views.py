@@ -35,7 +35,8 @@ SELECT * FROM (
     l_partkey AS src,
     lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst,
     l_suppkey AS file_id, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS weight,
-    CASE WHEN l_returnflag = 'R' THEN '{{"virt":1}}' WHEN l_linestatus = 'F' THEN '{{"pure":1}}' END AS flags
+    CASE WHEN l_returnflag = 'R' THEN '{{"virt":1,"acc":"pub"}}' WHEN l_linestatus = 'F' THEN '{{"pure":1,"acc":"priv"}}'
+      WHEN l_linenumber % 2 = 0 THEN '{{"virtual":1,"acc":"prot"}}' END AS flags
   FROM {lineitem}) q WHERE dst IS NOT NULL AND src <> dst""",
     # unmerged records: every order reports its parts
     "v_raw": """

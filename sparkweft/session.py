@@ -14,9 +14,18 @@ def session(name: str = "sparkweft", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names; one of our own only where unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset and driver and executors are one process."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkweft-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not (named or context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkweft-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
