@@ -208,9 +208,10 @@ def near_duplicates(
     scale: float = SCALE,
     seed: int = SEED,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+    """vec_id, n_links, component_id, kept of every row; ids are whole numbers or strings."""
     ship(embeddings.sparkSession)
-    read = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    own = F.col(id_col) if embeddings.schema[id_col].dataType.simpleString() == "string" else F.col(id_col).cast("long")
+    read = embeddings.select(own.alias("vec_id"), F.col(vector_col).alias("v"))
     kind = "<f8" if "double" in read.schema["v"].dataType.simpleString() else "<f4"
     read = read.withColumn("v", F.col("v").cast("array<double>" if kind == "<f8" else "array<float>"))
     bad = lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf"))

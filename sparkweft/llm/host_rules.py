@@ -25,7 +25,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_WORDS, MOST_REPEATED = 50, 50
-BROADCAST_HOSTS = 5_000
+#: Hosts whose verdicts are broadcast, counted before; beyond, each host is dealt in so many parts, so that none meets in one task.
+BROADCAST_HOSTS, SALTS = 5_000, 64
 
 
 def measures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -92,6 +93,9 @@ def apply_rules(
     verdicts = host_verdicts(judged, most_failed).select(F.col("host").alias("__host"), "host_rate", "host_ok")
     # checked before the hint: few rows of one short key and two numbers
     if len(judged.select("host").distinct().limit(BROADCAST_HOSTS + 1).collect()) <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    joined = judged.join(verdicts, F.col("host").eqNullSafe(F.col("__host")))
+        joined = judged.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("__host")))
+    else:
+        dealt = judged.withColumn("__part", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+        parts = verdicts.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(parts, F.col("host").eqNullSafe(F.col("__host")) & (F.col("__part") == F.col("__of")))
     return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host", "host_rate")

@@ -126,3 +126,6 @@ def test_odd_vectors_link_with_nothing(spark):
     assert {i: found[i] for i in (1, 2, 3, 4, 5, 6, 9)} == {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)}
     assert found[7] == (2, 7, True) and found[8] == (2, 7, False) and found[10] == (2, 7, False)
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
+    named = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [2.0, 4.0]), (None, [1.0, 2.0]), ("c", None), (None, None)], "vec_id string, embedding array<float>")
+    rows = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embed_dedup.near_duplicates(named).collect())
+    assert rows == [("None", 0, "None", True), ("None", 2, "a", False), ("a", 2, "a", True), ("b", 2, "a", False), ("c", 0, "c", True)]

@@ -1,6 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
+from test_graph_and_vectors import brute_components, plain_fingerprint
+from test_texts import check_packing, md5, plain_key, poisson_at, reference_ids
+
 from sparkweft.llm import langid, simhash
 
 SF = "/root/testdata/sf0.01"
@@ -44,5 +47,36 @@ def test_each_group_keeps_one_row_whatever_the_ids(spark):
     assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in found) == [("3", b), ("5", a), ("8", ""), ("None", c)]
 
 
-def test_run_gives_packed_rows(spark):
+def test_stages_after_scoring_match_brute_force(spark, tmp_path):
+    """Near-dedup, mixing and packing of a small table, against plain code; the scoring stages drop what their operators reject."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [tuple(r) for r in docs.collect()]
+    prints = {d[0]: plain_fingerprint(d[1]) for d in texts}
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    label = brute_components(sorted(prints), links)
+    kept = pipeline.one_of_each_group(spark, docs, SF)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(set(label.values()))
+    rows = [tuple(r) for r in kept.collect()]
+    sizes = Counter(r[3] for r in rows)
+    rate = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) * len(rows) / n for s, n in sizes.items()}
+    want = Counter()
+    for r in rows:
+        want[r] = poisson_at(int(md5(f"42|{plain_key(r)}|1|1")[:13], 16) / 2**52, rate[r[3]])
+    pipeline.mixed(spark, kept, SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert Counter(tuple(r) for r in mixed.collect()) == +want
+    packed = pipeline.packed(spark, mixed, SF).collect()
+    tokens = {r[0]: len(reference_ids(r[1])) for r in rows}
+    assert sum(r["length"] for r in packed) == sum(tokens[r[0]] * n for r, n in want.items())
+    check_packing(pipeline.packed(spark, kept, SF).collect(), [(r[0], r[1]) for r in rows])  # without copies every piece can be told
+
+
+def test_run_gives_packed_rows_and_leaves_one_folder(spark):
+    import glob
+
+    from sparkweft.llm.common import shared_folder
+
+    before = set(glob.glob(shared_folder(spark).removeprefix("file:") + "/pipeline-*/*"))
     assert "sequence_id" in pipeline.run(spark, "/root/testdata/sf0.001").columns
+    after = set(glob.glob(shared_folder(spark).removeprefix("file:") + "/pipeline-*/*")) - before
+    assert [f.rsplit("/", 1)[1] for f in after] == [str(len(pipeline.STAGES) - 1)]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def test_token_counts_of_odd_and_real_texts(spark, documents):
     path = tokenizer("byte_bpe_50k.json")
     starts, continues = map(set, token_count.read_vocabulary(path))
     plain = lambda t: (len((t or "").encode().split()), sum(greedy(w, starts, continues) for w in (t or "").encode().split()))
-    few = [(r["doc_id"], r["text"]) for r in documents.limit(15).collect()] + [x for x in ODD if x[0] != 7]
+    few = [(r["doc_id"], r["text"]) for r in documents.limit(15).collect()] + ODD
     df = spark.createDataFrame([(i, t, 0) for i, t in few], "doc_id long, text string, n_tokens int")
     rows = token_count.count_tokens(df, path).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in rows) == Counter((i, *plain(t)) for i, t in few)
@@ -256,8 +257,10 @@ def plain_measures(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def test_host_rules(spark, documents):
-    for text in [t for _, t in ODD if t is None or len(t) < 999] + ["a b c a b c a", "a\n\na\n a\nb", "#x $ |", "x y z \x0b w"] + [r["text"] for r in documents.limit(40).collect()]:
+@pytest.mark.parametrize("broadcast", [5_000, 0])
+def test_host_rules(spark, documents, monkeypatch, broadcast):
+    monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", broadcast)
+    for text in [t for _, t in ODD] + ["a b c a b c a", "a\n\na\n a\nb", "#x $ |", "x y z \x0b w"] + [r["text"] for r in documents.limit(40).collect()]:
         assert host_rules.measures(text) == plain_measures(text)
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, good, "fine", 1) for i in range(30)] + [(100 + i, "bad", "foul", 1) for i in range(29)] + [(200, good, "foul", 1), (201, good, None, 1), (202, None, "fine", 1)]
@@ -275,10 +278,11 @@ def test_language_is_learned(spark):
 
 
 def test_language_of_odd_texts(spark):
-    df = odd(spark).unionByName(spark.createDataFrame([(90, "12 34 !?", "fr", "s", 1), (91, "salut", None, "s", 1)], DOCS))
+    df = odd(spark).unionByName(spark.createDataFrame([(90, "12 34 !?", "fr", "s", 1), (91, "salut", None, "s", 1), (92, "½ ² ①", "fr", "s", 1), (93, "٣ _ 9", "fr", "s", 1)], DOCS))
+    df = df.withColumns({"score": F.lit(1), "held_out": F.lit(2), "lang_pred": F.lit(3)})
     rows = langid.identify(df, carry=True).collect()
     said = {r["doc_id"]: r["lang_pred"] for r in rows}
-    assert len(rows) == len(ODD) + 2 and {said[i] for i in (2, 3, 4, 90)} == {"und"} and said[5] in ("en", "fr") and rows[0]["row"]["source"] == "s"
+    assert len(rows) == len(ODD) + 4 and {said[i] for i in (2, 3, 4, 90, 92, 93)} == {"und"} and said[5] in ("en", "fr") and rows[0]["row"]["source"] == "s"
     assert langid.identify(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -322,6 +326,99 @@ def test_recurrent_gradients_match_differences():
         assert abs((up - down) / 2e-4 - g[name].reshape(-1)[at]) < 2e-3
 
 
+def test_byte_network_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    network = langid.ByteNetwork(3)
+    network.w = {k: v.astype(np.float64) for k, v in network.w.items()}
+    x, y = rng.integers(1, 256, (4, 20)).astype(np.uint8), np.array([0, 2, 1, 2])
+    loss = lambda: -np.mean(np.log(network.forward(x)[0][np.arange(4), y]))
+    found = network.gradients(x, y)
+    for name, g in found.items():
+        flat = network.w[name].reshape(-1)
+        places = np.argsort(-np.abs(g.reshape(-1)))[:3]
+        for at in places:
+            old = flat[at]
+            flat[at] = old + 1e-5
+            up = loss()
+            flat[at] = old - 1e-5
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / 2e-5 - g.reshape(-1)[at]) < 1e-4, name
+
+
+def test_byte_network_scores_as_plain_loops_do():
+    network = langid.ByteNetwork(2)
+    text = "Straße 42 naïve! " * 40
+    data, w = text.encode(), network.w
+    totals, n_bytes = np.zeros(2), 0
+    for start in range(0, max(1, len(data) - langid.WINDOW + langid.STEP), langid.STEP):
+        window = data[start : start + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        features = []
+        for k in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                best = max(sum(float(w["embed"][window[i + j]] @ w[f"filter{k}"][j * langid.EMBED : (j + 1) * langid.EMBED, f]) for j in range(k)) for i in range(len(window) - k + 1))
+                features.append(max(0.0, best + float(w[f"bias{k}"][f])))
+        z = np.exp([sum(x * float(c) for x, c in zip(features, w["out"][:, l])) + float(w["out_bias"][l]) for l in range(2)])
+        seen = sum(b != 0 for b in window)
+        totals, n_bytes = totals + z / z.sum() * seen, n_bytes + seen
+    batch = pa.record_batch([pa.array([1]), pa.array([text]), pa.array([False])], names=["doc_id", "text", "held_out"])
+    (out,) = langid._predictions(["x", "y"], network)(iter([batch]))
+    assert abs(out.column(3)[0].as_py() - (totals / n_bytes).max()) < 1e-4 and out.column(2)[0].as_py() == ["x", "y"][int(totals.argmax())]
+
+
+def test_recurrent_scores_as_plain_loops_do():
+    rng = np.random.default_rng(2)
+    words = [rng.choice([b"calm", b"vile", b"odd", b"\xc3\xa9t\xc3\xa9", b"vile"]) for _ in range(50)] + [b"vile"] * 9
+    words = [bytes(x) for x in words]
+    hashes = np.unique(toxicity.grams_of(words)[0])[::2]
+    network = toxicity.Recurrent({b"calm": 1, b"vile": 2}, hashes)
+    network.w["char"][1:] = rng.normal(0, 0.5, network.w["char"][1:].shape)
+    network.offset, w, s = 0.3, network.w, toxicity.STATE
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    joined = b" " + b" ".join(words) + b"   "
+    at, vectors = 0, []
+    for word in words:
+        own = np.zeros(toxicity.CHAR)
+        for i in range(at, at + len(word) + 1):
+            h = int.from_bytes(joined[i : i + 4], "little") * 2654435761 % 2**32 >> (32 - toxicity.GRAM_BITS)
+            own = own + w["char"][network.row[h]]
+        vectors.append(np.concatenate([w["word"][network.vocabulary.get(word, 0)], own]))
+        at += len(word) + 1
+
+    def run(xs, side):
+        h, out = [0.0] * s, []
+        for x in xs:
+            pre = x @ w["in" + side] + w["bias" + side]
+            z = [sig(pre[i] + sum(h[j] * w["gate" + side][j, i] for j in range(s))) for i in range(s)]
+            r = [sig(pre[s + i] + sum(h[j] * w["gate" + side][j, s + i] for j in range(s))) for i in range(s)]
+            c = [math.tanh(pre[2 * s + i] + sum(r[j] * h[j] * w["cand" + side][j, i] for j in range(s))) for i in range(s)]
+            h = [(1 - z[i]) * h[i] + z[i] * c[i] for i in range(s)]
+            out.append(h)
+        return out
+
+    best = -1e9
+    for start in toxicity.window_starts(len(words)):
+        xs = vectors[start : start + toxicity.WINDOW]
+        states = [np.array(f + b) for f, b in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])]
+        energy = np.exp([x @ w["att"] for x in states])
+        pooled = sum(e * x for e, x in zip(energy / energy.sum(), states))
+        best = max(best, float(pooled @ w["out"] + w["out_bias"][0]))
+    batch = pa.record_batch([pa.array([1]), pa.array([b" ".join(words).decode()]), pa.array([False])], names=["doc_id", "text", "held_out"])
+    (out,) = toxicity._scores(network)(iter([batch]))
+    assert abs(out.column(2)[0].as_py() - sig(best - 0.3)) < 1e-4
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from sparkweft.llm.common import sampled_ids, texts_of
+
+    rows = [(i % 900, f"t{i}", "ab"[i % 900 % 2]) for i in range(1800)] + [(7, f"again {i}", "b") for i in range(3000)] + [(None, "x", "a"), (5000, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).cache()
+    found = sampled_ids(df, "doc_id", "lang", 40)
+    assert len(found) == len({i for i, _ in found}) == 80 and {c for _, c in found} == {"a", "b"} and all("ab"[i % 2] == c for i, c in found)
+    assert sorted(r["doc_id"] for r in texts_of(df, [i for i, _ in found] + [7]).collect()) == sorted({i for i, _ in found} | {7})
+    assert sampled_ids(df.limit(0), "doc_id", "lang", 40) == []
+
+
 def test_toxicity_is_learned(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -344,7 +441,7 @@ def test_toxicity_threshold_heeds_all_windows_of_long_texts(spark):
 
     odd = plain(48, calm)
     odd[16:28] = foul  # in both of the windows that hold it
-    odd[0], odd[-1] = "opens", "closes"  # no neighbour repeats, so no word is dropped
+    odd[0], odd[-1] = "opens", "closes"
     docs, labels = [], []
     for i in range(80):
         words = plain(4000 + 16 * i, calm)
@@ -362,10 +459,10 @@ def test_toxicity_threshold_heeds_all_windows_of_long_texts(spark):
 
 
 def test_toxicity_of_odd_texts(spark):
-    df = odd(spark)
+    df = odd(spark).withColumns({"score": F.lit(1), "held_out": F.lit(2), "predicted": F.lit(3)})
     labels = spark.createDataFrame([(1, 1, 9), (5, 0, 9), (6, 0, 9), (6, 1, 9), (None, 1, 9), (3, None, 9)], "doc_id long, toxic int, text int")
-    rows = toxicity.score(df, labels, carry=True).collect()
-    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    rows = toxicity.score(df, labels, carry=True, steps=30).collect()
+    assert rows[0]["row"]["predicted"] == 3 and len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert {r["score"] for r in toxicity.score(df, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score(df.limit(0), labels).collect() == []
 
