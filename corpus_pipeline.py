@@ -51,7 +51,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models and hashes of whole texts are beyond SQL; tests compare the stages with brute force.
+#: Trained models and hashes of whole texts are beyond SQL; tests compare near-dedup, mixing and packing with plain code,
+#: the networks' scores with plain loops, and the stages' effects with their operators.
 ORACLE_SQL = None
 
 
@@ -61,4 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            # the next stage reads what was just written, so the table before it can go
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return docs
