@@ -16,6 +16,10 @@ from sparkweft.operators.edges import ends
 from sparkweft.session import durable
 
 
+#: Levels whose tables a walk unites as they are before it writes them as one.
+TOGETHER = 8
+
+
 def reach(pairs: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """start, node, level: nodes that starts (a column ``start``) reach along pairs (a, b), the start itself never.
 
@@ -30,7 +34,9 @@ def reach(pairs: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
         frontier = durable(found.join(visited, ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        visited = durable(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
+        if level % TOGETHER == 0:
+            visited = durable(visited)
     return visited.where("level > 0").withColumn("level", F.col("level").cast("long"))
 
 

@@ -75,9 +75,12 @@ def neighbours(
     evidence = found.groupBy("usr", "other", "file_id", "line", "kind", "flags").agg(F.max("weight").alias("weight"))
     weight = F.coalesce(F.nullif("weight", F.lit(0)), F.lit(1))
     has = lambda flag: F.bool_or(F.coalesce(F.try_element_at(expr.flags(F.col("flags")), F.lit(flag)).isNotNull(), F.lit(False)))
-    # sites are distinct before they are gathered, and only the first five of a pair are
-    per_site = evidence.withColumn("site", site).groupBy("usr", "other", "site").agg(
-        F.min("line").alias("line"), F.sum(weight).alias("weight"), F.collect_set("kind").alias("kinds"), has("virt").alias("virt"), has("pure").alias("pure")
+    # sites are distinct before they are gathered, and only the first five of a pair are; kinds are bits, so that all of it is hashed;
+    # evidence is spread over its places first, then one exchange by pair serves all that follows
+    known = sorted(set(kinds))
+    bit = F.coalesce(*(F.when(F.col("kind") == k, F.lit(1 << i).cast("long")) for i, k in enumerate(known)))
+    per_site = evidence.repartition("usr", "other").withColumn("site", site).groupBy("usr", "other", "site").agg(
+        F.min("line").alias("line"), F.sum(weight).alias("weight"), F.bit_or(bit).alias("kinds"), has("virt").alias("virt"), has("pure").alias("pure")
     )
     by_line = Window.partitionBy("usr", "other").orderBy((F.col("site") == "").cast("int"), F.col("line").asc_nulls_first(), "site")
     shown = F.when((F.col("__r") <= model.MOST_SITES) & (F.col("site") != ""), F.struct("__r", "site"))
@@ -85,11 +88,12 @@ def neighbours(
         F.sum("weight").alias("weight"),
         F.count_if(F.col("site") != "").alias("site_count"),
         F.transform(F.sort_array(F.collect_list(shown)), lambda s: s["site"]).alias("sites"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
+        F.bit_or("kinds").alias("kinds"),
         F.bool_or("virt").alias("virt"),
         F.bool_or("pure").alias("pure"),
     )
-    return folded.select(
+    told = F.filter(F.array(*map(F.lit, known)), lambda k, i: F.getbit("kinds", i) == 1)
+    return folded.withColumn("kinds", told).select(
         "usr", "other", "weight", "site_count", "sites",
         F.when(F.col("weight") > F.col("site_count"), F.col("weight")).alias("occurrences"),
         F.when(F.col("kinds") != F.array(F.lit(kinds[0])), F.col("kinds")).alias("via"),

@@ -19,8 +19,9 @@ def merge_symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
     """raw: tu_id, usr, stub, file_id, line, def_file_id and any further columns; files: file_id, is_system, in_project.
 
     Full records beat stubs, known definitions unknown ones, project files others, other files
-    system ones; then file, line, unit and the remaining columns make the order total. The least
-    record is a partial aggregate, so a symbol that every unit reports moves one row a task.
+    system ones; then file, line, unit and the remaining columns make the order total. Records are
+    spread by symbol and unit, so one that every unit reports fills no task; what follows moves one
+    row a symbol and task.
     """
     place = files.select(F.col("file_id").alias("__file"), F.col("is_system").cast("int").alias("__system"), F.col("in_project").cast("int").alias("__inside"))
     ranked = raw.join(place, F.col("file_id") == F.col("__file"), "left")
@@ -38,6 +39,6 @@ def merge_symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
         *(F.col(c).alias(f"r{k}") for k, c in enumerate(rest)),
     )
     kept = [c for c in raw.columns if c not in ("usr", "tu_id")]
-    best = ranked.groupBy("usr").agg(F.min_by(F.struct(*kept), order).alias("__best"))
-    units = raw.groupBy("usr").agg(F.countDistinct("tu_id").alias("tu_count"))
-    return best.join(units, "usr").select("usr", "__best.*", "tu_count")
+    # one exchange serves the distinct units; a unit's records of a symbol are few, so combining them before it only costs a sort
+    best = ranked.repartition("usr", "tu_id").groupBy("usr").agg(F.min_by(F.struct(*kept), order).alias("__best"), F.countDistinct("tu_id").alias("tu_count"))
+    return best.select("usr", "__best.*", "tu_count")

@@ -47,17 +47,13 @@ def innermost(ranges: DataFrame, found: DataFrame, containers: tuple[str, ...] =
     Adds is_container; ranges that meet nothing are not in the result.
     """
     inside = F.coalesce(F.col("kind").isin(*containers), F.lit(False)).alias("is_container")
-    # numbered in the order that settles ties, so hits are a few numbers each; checkpointed, so the numbers hold
-    numbered = durable(found.select("*", inside).orderBy("kind", "name", "usr", "start").withColumn("__n", F.monotonically_increasing_id()))
-    hits = overlaps(ranges.select("range_id", "file_id", "start", "end"), numbered.select("__n", "file_id", "start", "end", "is_container"))
-    order = F.struct(
-        F.when(F.col("is_container"), 0).otherwise(1).alias("a"),
-        F.when(F.col("is_container"), F.col("end") - F.col("start")).otherwise(F.col("start")).alias("b"),
-        F.when(~F.col("is_container"), F.col("end")).alias("c"),
-        "__n",
-    )
-    # the least hit is a partial aggregate: hits are not exchanged
-    best = hits.groupBy("range_id").agg(F.min(order).alias("__hit")).select("range_id", "__hit.__n")
+    # which of two symbols counts does not depend on the range, so one number tells; checkpointed, so the numbers hold
+    first = F.when(F.col("is_container"), F.col("end") - F.col("start")).otherwise(F.col("start"))
+    order = [F.desc("is_container"), first, F.when(~F.col("is_container"), F.col("end")), "kind", "name", "usr", "start"]
+    numbered = durable(found.select("*", inside).orderBy(*order).withColumn("__n", F.monotonically_increasing_id()))
+    hits = overlaps(ranges.select("range_id", "file_id", "start", "end"), numbered.select("__n", "file_id", "start", "end"))
+    # the least number is a partial aggregate, hashed: hits are neither sorted nor exchanged
+    best = hits.groupBy("range_id").agg(F.min("__n").alias("__n"))
     asked = ranges.select("range_id", *(F.col(c).alias(f"r_{c}") for c in ranges.columns if c not in ("range_id", "file_id")))
     return best.join(numbered, "__n").join(asked, "range_id").drop("__n")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(name: str = "sparkweft", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # a plan over little data keeps its cores: with the default of 1 MB AQE folds small exchanges into a task or two
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
