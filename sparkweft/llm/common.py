@@ -51,6 +51,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A class that holds more than this part of all rows, one in so many, is common; so common classes are fewer than this number.
+COMMON = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, class_key: str, copies: str) -> DataFrame:
+    """rows with the columns of the class that has their key; copies, a class's number of rows, is left out.
+
+    Rows of common classes never meet in one task: these classes are broadcast, of which there are fewer than
+    ``COMMON`` whatever the data. The other rows are joined by key.
+    """
+    total = classes.agg(F.sum(copies)).first()[0] or 0
+    common, others = (classes.where(c).drop(copies) for c in (F.col(copies) * COMMON > total, F.col(copies) * COMMON <= total))
+    same = F.col(key) == F.col(class_key)
+    apart = rows.join(F.broadcast(common.select(class_key)), same, "left_anti").join(others, same)
+    return rows.join(F.broadcast(common), same).unionByName(apart).drop(class_key)
+
+
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m: the split of labelled rows."""
     return F.crc32(F.col(id_col).cast("string")) % m

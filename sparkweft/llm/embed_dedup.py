@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.llm.cells import candidates, forest, spread
-from sparkweft.llm.common import durable, ship
+from sparkweft.llm.common import durable, join_classes, ship
 from sparkweft.llm.components import components
 
 LEAST_COSINE = 0.95
@@ -227,8 +227,8 @@ def near_duplicates(
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy(F.col("component").alias("__c")).agg(F.min("least_id").alias("component_id"))
     verdict = labelled.join(least, F.col("component") == F.col("__c")).select(
-        F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+        F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"
     )
-    linked = read.where(usable).join(verdict, F.col("v") == F.col("__v")).select("vec_id", "n_links", "component_id")
+    linked = join_classes(read.where(usable), verdict, "v", "__v", "copies").select("vec_id", "n_links", "component_id")
     alone = read.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

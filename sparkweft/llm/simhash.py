@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.llm.cells import candidates, forest, spread
-from sparkweft.llm.common import durable, ship
+from sparkweft.llm.common import durable, join_classes, ship
 from sparkweft.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -119,12 +119,12 @@ def near_duplicates(
     arrow = pa.string() if kind == "string" else pa.int64()
     kind = "string" if kind == "string" else "bigint"
     hashed = durable(read.mapInArrow(_fingerprints(width, seed, arrow), ", ".join([f"doc_id {kind}, fp bigint", *(f"{c} {read.schema[c].dataType.simpleString()}" for c in carry)])))
-    least = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    least = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     dealt = spread(grid_rows(least.select("fp")), F.col("fp"), BLOCK)
     links = dealt.mapInArrow(_linked(BITS), "a bigint, b bigint")
     found = components(links)
-    labelled = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    labelled = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "copies", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id", "component")
+    classes = labelled.select("fp", "component", "copies").join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id", "component", "copies")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return hashed.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", text.alias("fingerprint"), "component_id", *(["component", *carry] if carry else []))
+    return join_classes(hashed, classes, "fp", "__fp", "copies").select("doc_id", text.alias("fingerprint"), "component_id", *(["component", *carry] if carry else []))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweft.llm import cells, components, embed_dedup, simhash
+from sparkweft.llm import cells, common, components, embed_dedup, simhash
 
 
 def brute_components(ids, linked):
@@ -103,9 +103,32 @@ def vectors(seed=4):
     return [r.astype(np.float32).tolist() for r in rows]
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_embedding_links_match_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("of", [1, 4, 1000])
+def test_rows_get_their_class_whether_it_is_common_or_not(spark, of, monkeypatch):
+    monkeypatch.setattr(common, "COMMON", of)
+    rows = [(i, 7 if i % 3 else 100 + i) for i in range(60)]
+    classes = spark.createDataFrame([(7, "seven", 40)] + [(100 + i, str(i), 1) for i in range(0, 60, 3)], "c long, name string, n long")
+    joined = common.join_classes(spark.createDataFrame(rows, "id long, k long"), classes, "k", "c", "n")
+    assert joined.columns == ["id", "k", "name"]
+    assert sorted(tuple(r) for r in joined.collect()) == [(i, k, "seven" if k == 7 else str(i)) for i, k in rows]
+
+
+@pytest.mark.parametrize("of", [1, 4])
+def test_documents_get_the_same_component_whether_a_fingerprint_is_common_or_not(spark, of, monkeypatch):
+    monkeypatch.setattr(common, "COMMON", of)
+    texts = ["", "same words here"] * 20 + [f"a b c {i} e f g" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [plain_fingerprint(t) for t in texts]
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    label = brute_components(range(len(fps)), near)
+    assert found == {i: (f"{fp:016x}", label[i]) for i, fp in enumerate(fps)}
+
+
+@pytest.mark.parametrize("block, of", [(3, 1), (3, 1000), (2048, 30)])
+def test_embedding_links_match_brute_force(spark, block, of, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(common, "COMMON", of)
     rows = [(i * 3, v, 0) for i, v in enumerate(vectors())]
     found = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")).collect()}
     x = np.array([v for _, v, _ in rows], dtype=np.float64)
