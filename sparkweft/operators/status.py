@@ -63,3 +63,8 @@ def problems_by_unit(diags: DataFrame) -> DataFrame:
     """tu, problems, errors: diagnostics of warning and above, and those that are errors, of each unit that has any."""
     kept = diags.where(F.col("severity").isin(*model.SEVERITIES))
     return kept.groupBy("tu").agg(F.count(F.lit(1)).alias("problems"), F.count_if(F.col("severity") != "warning").alias("errors"))
+
+
+def sample(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """The ``most`` rows that come first by a seeded hash of their key: the same ones however rows are partitioned."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)

@@ -151,6 +151,12 @@ def busiest_symbol(spark, sf):
     return edges.busiest(found, symbols, ("calls",)).withColumnRenamed("edges", "callers")
 
 
+@query("SELECT usr, qualified FROM v_sym ORDER BY md5('7:' || CAST(usr AS VARCHAR)), usr LIMIT 200")
+def symbol_sample(spark, sf):
+    (symbols,) = load(spark, sf, "v_sym")
+    return status.sample(symbols.select("usr", "qualified"), "usr", 200, seed=7)
+
+
 @query("SELECT usr FROM v_sym s WHERE EXISTS (SELECT 1 FROM v_edge e WHERE e.dst = s.usr AND e.kind = 'calls')")
 def has_calls_semi(spark, sf):
     found, symbols = load(spark, sf, "v_edge", "v_sym")
