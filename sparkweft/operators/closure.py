@@ -1,13 +1,15 @@
 """Walks level by level: closures of edges and files, parent chains, extents of containers.
 
 Loops run on the driver, levels on the cluster; every level is cut by a reliable checkpoint and
-only its row count comes back.
+only its row count comes back. A small graph is carried to the starts instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,98 @@ from sparkweft.session import durable
 
 #: Levels whose tables a walk unites as they are before it writes them as one.
 TOGETHER = 8
-
-
-def reach(pairs: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+#: A graph of files of so many distinct pairs at most goes to every task, which then walks whole starts by itself.
+CARRIED = 1 << 19
+#: Cells (start, node) that a task marks at a time, and rows of a batch that it returns.
+CELLS, BATCH = 1 << 21, 1 << 17
+
+
+def _walker(table: pa.Table, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Breadth-first walks over a table of pairs (a, b), many starts abreast."""
+    count = table.num_rows
+    coded = pa.concat_arrays([c for name in ("a", "b") for c in table[name].chunks]).dictionary_encode() if count else pa.array([], table.schema.field("a").type).dictionary_encode()
+    codes, nodes = coded.indices.to_numpy(), coded.dictionary
+    order = np.argsort(codes[:count], kind="stable")
+    far = codes[count:][order].astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(np.bincount(codes[:count], minlength=len(nodes)))])
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n, degree = len(nodes), first[1:] - first[:-1]
+        abreast = max(1, CELLS // max(1, n))
+        mark = np.zeros(abreast * n, np.int32)
+
+        def rows(values, held):
+            # cells stand in the order of their starts: a list for each start and level, since far fewer rows then cross to Spark
+            keys, level = np.concatenate([k for k, _ in held]), np.concatenate([np.full(len(k), d) for k, d in held])
+            start = keys // n
+            heads = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1]) | (level[1:] != level[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)).astype(np.int32)), nodes.take(pa.array(keys % n)))
+            return pa.RecordBatch.from_arrays([values.take(pa.array(start[heads])), pa.array(level[heads]), lists], ["start", "level", "nodes"])
+
+        for batch in batches:
+            known = batch.column(0).filter(pc.is_in(batch.column(0), value_set=nodes))
+            for at in range(0, len(known), abreast):
+                values = known.slice(at, abreast)
+                front = np.arange(len(values)) * n + pc.index_in(values, value_set=nodes).to_numpy()
+                mark[:] = 0
+                mark[front] = 1
+                held, size, level = [], 0, 0
+                while len(front) and (most is None or level < most):
+                    level += 1
+                    node = front % n
+                    many = degree[node]
+                    ends = np.cumsum(many)
+                    if not len(ends) or not ends[-1]:
+                        break
+                    place = np.arange(ends[-1]) + np.repeat(first[node] - (ends - many), many)
+                    near = np.repeat(front - node, many) + far[place]
+                    near = near[mark[near] == 0]
+                    # of equal cells the last one written stays
+                    number = np.arange(1, len(near) + 1, dtype=np.int32)
+                    mark[near] = number
+                    front = near[mark[near] == number]
+                    for cut in range(0, len(front), BATCH):
+                        part = front[cut : cut + BATCH]
+                        held.append((part, level))
+                        size += len(part)
+                        if size >= BATCH:
+                            yield rows(values, held)
+                            held, size = [], 0
+                if held:
+                    yield rows(values, held)
+
+    return walk
+
+
+def _carried(steps: DataFrame, starts: DataFrame, most: int | None, carried: int) -> DataFrame | None:
+    """The walk with the graph in every task; None where the graph is too large for that or its ids differ in type."""
+    kinds = {steps.schema["a"].dataType, steps.schema["b"].dataType, starts.schema["start"].dataType}
+    if len(kinds) > 1:
+        return None
+    table = steps.limit(carried + 1).toArrow()
+    if table.num_rows > carried:
+        return None
+    spark, kind = steps.sparkSession, steps.schema["a"].dataType.simpleString()
+    # by number, so that starts are not folded into a task or two for being few bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    spread = starts.select("start").distinct().repartition(tasks, "start")
+    found = spread.mapInArrow(_walker(table, most), f"start {kind}, level long, nodes array<{kind}>")
+    return found.select("start", F.explode("nodes").alias("node"), "level")
+
+
+def reach(pairs: DataFrame, starts: DataFrame, most: int | None = None, carried: int = 0) -> DataFrame:
     """start, node, level: nodes that starts (a column ``start``) reach along pairs (a, b), the start itself never.
 
-    level is the shortest distance; cycles end because a pair (start, node) is visited once.
+    level is the shortest distance; cycles end because a pair (start, node) is visited once. A graph of at most
+    ``carried`` distinct pairs is walked within tasks: rows are neither exchanged nor written on the way.
     """
     steps = pairs.select("a", "b").where(F.col("a") != F.col("b")).distinct()
+    if carried and (found := _carried(steps, starts, most, carried)) is not None:
+        return found
     visited = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct()
     frontier, level = visited, 0
     while most is None or level < most:
@@ -58,7 +144,7 @@ def direct(includes: DataFrame, direction: str = "out") -> DataFrame:
 def files(includes: DataFrame, starts: DataFrame, direction: str = "out") -> DataFrame:
     """start, node, level over files, without a bound; 'out' follows includes, 'in' includers."""
     a, b = ("from_file", "to_file") if direction == "out" else ("to_file", "from_file")
-    return reach(includes.select(F.col(a).alias("a"), F.col(b).alias("b")), starts)
+    return reach(includes.select(F.col(a).alias("a"), F.col(b).alias("b")), starts, carried=CARRIED)
 
 
 def units_reaching(includes: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -134,6 +134,23 @@ def test_closures_end_on_cycles_and_never_return_the_start(spark):
     assert {tuple(r) for r in closure.reach(pairs, starts, 2).collect()} == {(9, 1, 1), (9, 2, 2), (4, 1, 1), (4, 2, 2)}
 
 
+def test_small_graphs_are_walked_within_tasks(spark, monkeypatch):
+    pairs = [(i, (7 * i + 3) % 90) for i in range(90)] + [(i, (5 * i + 1) % 90) for i in range(90)] + [(200 + i, 201 + i) for i in range(150)] + [(1, 1)]
+    named = spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in pairs], "a string, b string")
+    starts = spark.createDataFrame([(f"f{i}",) for i in (0, 1, 1, 45, 200, 349, 350, 999)], "start string")
+    for most in (None, 3):
+        want = closure.reach(named, starts, 3 if most else 6).collect()
+        got = closure.reach(named, starts, most, carried=1000)
+        assert got.dtypes == [("start", "string"), ("node", "string"), ("level", "bigint")]
+        assert sorted(map(tuple, got.where("level <= 6").collect())) == sorted(map(tuple, want))
+    # neither a level nor a row is written on the way, however long the walk
+    monkeypatch.setattr(closure, "durable", lambda df: pytest.fail("a level was written"))
+    monkeypatch.setattr(closure, "BATCH", 7)
+    rows = closure.files(named.withColumnsRenamed({"a": "from_file", "b": "to_file"}), starts).where("start = 'f200'").collect()
+    assert sorted((r["level"], r["node"]) for r in rows) == [(i, f"f{200 + i}") for i in range(1, 151)]
+    assert closure._carried(named.distinct(), starts, None, 5) is None
+
+
 def test_units_reaching_a_header(spark):
     includes = spark.createDataFrame([("a.cc", "x.h"), ("x.h", "y.h"), ("y.h", "z.h"), ("z.h", "x.h"), ("b.cc", "w.h")], "from_file string, to_file string")
     units = spark.createDataFrame([("a.cc",), ("b.cc",), ("c.cc",)], "file_id string")
