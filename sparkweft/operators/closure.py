@@ -148,12 +148,16 @@ def files(includes: DataFrame, starts: DataFrame, direction: str = "out") -> Dat
 
 
 def units_reaching(includes: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """file, unit: units (a column ``file_id``) that are a wanted file or include it by any path."""
-    start = wanted.select(F.col("file_id").alias("start"))
-    itself = start.select("start", F.col("start").alias("node"))
-    back = files(includes, start, "in").select("start", "node")
-    found = itself.unionByName(back).join(units.select(F.col("file_id").alias("node")).distinct(), "node", "left_semi")
-    return found.select(F.col("start").alias("file"), F.col("node").alias("unit")).distinct()
+    """file, unit: units (a column ``file_id``) that are a wanted file or include it by any path.
+
+    The fewer of the two are the starts; a walk names a pair once, so the pairs need no distinct.
+    """
+    asked, held = (x.select(F.col("file_id").alias("start")).distinct() for x in (wanted, units))
+    way, few, many = ("out", held, asked) if held.count() < asked.count() else ("in", asked, held)
+    walked = files(includes, few, way).select("start", "node")
+    found = few.select("start", F.col("start").alias("node")).unionByName(walked).join(many.select(F.col("start").alias("node")), "node", "left_semi")
+    file, unit = ("node", "start") if way == "out" else ("start", "node")
+    return found.select(F.col(file).alias("file"), F.col(unit).alias("unit"))
 
 
 def ancestors(symbols: DataFrame, starts: DataFrame | None = None, most: int = model.PARENT_DEPTH) -> DataFrame:

@@ -151,6 +151,16 @@ def test_small_graphs_are_walked_within_tasks(spark, monkeypatch):
     assert closure._carried(named.distinct(), starts, None, 5) is None
 
 
+def test_units_are_walked_from_the_fewer_side(spark, monkeypatch):
+    includes = spark.createDataFrame([("a.cc", f"h{i}") for i in range(5)] + [("h0", "h9"), ("h9", "a.cc")], "from_file string, to_file string")
+    units, wanted = (spark.createDataFrame([(x,) for x in names], "file_id string") for names in (["a.cc", "a.cc"], ["h1", "h9", "a.cc", "z", "h1"]))
+    asked, walk = [], closure.files
+    monkeypatch.setattr(closure, "files", lambda i, s, way="out": asked.append(way) or walk(i, s, way))
+    for w, u, want in ((wanted, units, [("a.cc", "a.cc"), ("h1", "a.cc"), ("h9", "a.cc")]), (units, wanted, [("a.cc", "a.cc"), ("a.cc", "h9")])):
+        assert sorted(map(tuple, closure.units_reaching(includes, u, w).collect())) == want
+    assert asked == ["out", "in"]
+
+
 def test_units_reaching_a_header(spark):
     includes = spark.createDataFrame([("a.cc", "x.h"), ("x.h", "y.h"), ("y.h", "z.h"), ("z.h", "x.h"), ("b.cc", "w.h")], "from_file string, to_file string")
     units = spark.createDataFrame([("a.cc",), ("b.cc",), ("c.cc",)], "file_id string")
