@@ -9,6 +9,10 @@ from sparkweft.functions import expr
 from sparkweft.session import durable
 
 
+#: So many spellings at most are broadcast to the names that they may occur in.
+FEW = 2000
+
+
 def files(spellings: DataFrame, known: DataFrame, root: str = "") -> DataFrame:
     """wanted, path: each spelling's file: as it stands, under the root, else the shortest path that ends with it."""
     wanted = spellings.select("wanted").distinct()
@@ -29,6 +33,13 @@ def _literal(pattern: Column) -> Column:
     return F.aggregate(runs, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
 
 
+def _tails(text: Column) -> Column:
+    """What stands after each :: of a name, lower-cased: a spelling ends the name at a :: if it equals one of them."""
+    low = expr.ascii_lower(text)
+    at = F.filter(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)) == "::")
+    return F.when(F.length(low) >= 2, F.array_distinct(F.transform(at, lambda i: F.substring(low, i + 2, F.length(low)))))
+
+
 def containing(patterns: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """patterns (__name, ...) with the names whose column holds __name's literal run: an equi-join on its first three characters.
 
@@ -43,6 +54,8 @@ def containing(patterns: DataFrame, names: DataFrame, column: str) -> DataFrame:
     if not lengths:
         return asked.drop("__key").join(names, F.lit(False))
     every = F.array_distinct(F.concat(*(grams(k) if k else F.array(F.lit("")) for k in lengths)))
+    if asked.limit(FEW + 1).count() <= FEW:
+        asked = F.broadcast(asked)
     return asked.join(names.withColumn("__key", F.explode(every)), "__key").drop("__key")
 
 
@@ -53,9 +66,8 @@ def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None
     name, with the signature where one is given; 4 a qualified name that ends with ::name; 5 a name that contains it. Stages 3 to 5
     rank project symbols first, then full records, shorter names, names.
     """
-    asked = references.select("reference").distinct()
     name, signature = expr.split_signature(F.col("reference"))
-    asked = asked.withColumns({"__name": name, "__signature": signature})
+    asked = durable(references.select("reference").distinct()).withColumns({"__name": name, "__signature": signature})
     row = symbols.select(F.col("usr"), "name", "qualified", "signature", "in_project", "stub")
     fits = F.col("__signature").isNull() | expr.contains(F.col("signature"), F.col("__signature"))
     parts = [asked.join(row, F.col("reference") == F.col("usr").cast("string")).select("reference", "usr", F.lit(1).alias("stage"))]
@@ -66,21 +78,21 @@ def cascade(references: DataFrame, symbols: DataFrame, places: DataFrame | None
         parts.append(located.select("reference", "usr", F.lit(2).alias("stage")).distinct())
     for column in ("qualified", "name"):
         parts.append(asked.join(row, F.col("__name") == F.col(column)).where(fits).select("reference", "usr", F.lit(3).alias("stage")))
-    # ::name ends a qualified name only if the last component equals the spelling's, whatever the case
-    tail = lambda c: expr.ascii_lower(F.substring_index(c, "::", -1))
-    open_pattern = F.col("__name").rlike("[%_]")
-    ends_with = expr.like(F.col("qualified"), F.concat(F.lit("%::"), F.col("__name")))
-    plain = asked.where(~open_pattern).withColumn("__tail", tail(F.col("__name"))).join(row.withColumn("__tail", tail(F.col("qualified"))), "__tail").where(ends_with & fits)
-    parts.append(plain.select("reference", "usr", F.lit(4).alias("stage")))
-    wild = containing(asked.where(open_pattern), row, "qualified").where(ends_with & fits)
-    parts.append(wild.select("reference", "usr", F.lit(4).alias("stage")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    # only spellings that nothing above settled reach the scan of all names
+    # each scan below is only for spellings that nothing above it settled
     found = durable(found.distinct())
     left = durable(asked.join(found.select("reference").distinct(), "reference", "left_anti"))
-    found = found.unionByName(containing(left, row, "name").where(expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage"))).distinct()
+    open_pattern = F.col("__name").rlike("[%_]")
+    ends_with = expr.like(F.col("qualified"), F.concat(F.lit("%::"), F.col("__name")))
+    tails = row.withColumn("__tail", F.explode(_tails(F.col("qualified"))))
+    plain = left.where(~open_pattern).withColumn("__tail", expr.ascii_lower(F.col("__name"))).join(tails, "__tail").where(fits)
+    wild = containing(left.where(open_pattern), row, "qualified").where(ends_with & fits)
+    fourth = durable(plain.select("reference", "usr").unionByName(wild.select("reference", "usr")).distinct().withColumn("stage", F.lit(4)))
+    left = left.join(fourth.select("reference").distinct(), "reference", "left_anti")
+    fifth = containing(left, row, "name").where(expr.contains(F.col("name"), F.col("__name")) & fits).select("reference", "usr", F.lit(5).alias("stage")).distinct()
+    found = found.unionByName(fourth).unionByName(fifth)
     first = Window.partitionBy("reference")
     found = found.withColumn("__first", F.min("stage").over(first)).where("stage = __first").drop("__first")
     label = expr.first_filled("qualified", "name")

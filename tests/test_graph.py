@@ -264,6 +264,24 @@ def test_resolution_stages(spark, symbols):
     assert found["DRA"] == [(5, "draw")] and found["R_ng"] == [(4, "ring")] and found["hypo"] == [(5, "hypot")] and not found["nothing"]
 
 
+def test_qualified_names_meet_their_tails_by_equality(spark, symbols, monkeypatch):
+    names = ["a::b::c", "a:::c", "B::C", "b::c::", "c", "ab::c", "::b::c", "x::a\\::c", "q::a%c"]
+    more = spark.createDataFrame([sym(f"t{i}", "function", q, "(int)", "bin/draw.cpp", 300 + i) for i, q in enumerate(names)], SYM).withColumn("name", F.lit("other"))
+    asked = ["b::c", "::c", "B::c(int)", "a\\::c", "c::", ":c", "c(double)", "a::b::c", "z", "b::c(int)"]
+    like = resolve.expr.like
+    matched = F.udf(lambda *a: pytest.fail("a plain spelling was matched as a pattern"), "boolean")
+    monkeypatch.setattr(resolve.expr, "like", lambda text, pattern: F.when(F.col("__name").rlike("[%_]"), like(text, pattern)).otherwise(matched(text)) if "qualified" in str(text) else like(text, pattern))
+    found = resolve.cascade(spark.createDataFrame([(r,) for r in asked], "reference string"), more).collect()
+    want = set()
+    for r in asked:
+        bare, _, args = r.partition("(")
+        fit = not args or args == "int)"
+        exact = [i for i, q in enumerate(names) if fit and bare == q]
+        ends = [i for i, q in enumerate(names) if fit and q.lower().endswith("::" + bare.lower())]
+        want |= {(r, 3 if exact else 4, f"t{i}") for i in exact or ends}
+    assert {(r["reference"], r["stage"], r["usr"]) for r in found} == want
+
+
 def test_files_are_found_by_suffix(spark):
     known = spark.createDataFrame([(f[0],) for f in FILES] + [("old/lib/ring.cpp",), ("/w/notes.h",)], "path string")
     asked = spark.createDataFrame([("ring.cpp",), ("lib/ring.cpp",), ("notes.h",), ("ing.cpp",), ("./bin/draw.cpp",)], "wanted string")
