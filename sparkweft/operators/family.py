@@ -19,8 +19,8 @@ def _direct(edges: DataFrame, kind: str, relation: str, near: str, far: str) ->
     ).select("usr", F.lit(relation).alias("relation"), "other", "access", "is_virtual", F.lit(False).alias("via_template"))
 
 
-def report(edges: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, depth: int = 8) -> DataFrame:
-    """usr, relation, other, access, is_virtual, via_template.
+def report(edges: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, depth: int = 8, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """usr, relation, other, access, is_virtual, via_template; of the named relations only, where they are given.
 
     Transitive relations leave out what the direct ones already name; as names are what a reader
     sees, that is decided by display name.
@@ -48,10 +48,14 @@ def report(edges: DataFrame, symbols: DataFrame, targets: DataFrame | None = Non
     out = direct
     starts = wanted.select(F.col("usr").alias("start"))
     for relation, kind, way in (("ancestors", "inherits", "out"), ("descendants", "inherits", "in"), ("overrides_indirectly", "overrides", "in")):
+        if relations is not None and relation not in relations:
+            continue
         far = closure.bounded(edges, symbols, (kind,), way, depth, starts).select(F.col("start").alias("usr"), F.col("node").alias("other"))
         known = direct.where(F.col("relation").isin(*told[relation])).select("usr", "name").distinct()
         far = far.join(names, "other").join(known, ["usr", "name"], "left_anti")
         out = out.unionByName(
             far.select("usr", F.lit(relation).alias("relation"), "other", F.lit(None).cast("string").alias("access"), F.lit(False).alias("is_virtual"), F.lit(False).alias("via_template"), "name")
         )
+    if relations is not None:
+        out = out.where(F.col("relation").isin(*relations))
     return out.select("usr", "relation", "other", "access", "is_virtual", "via_template")

@@ -6,7 +6,7 @@ of callers, hop by hop. Origins travel with the rows, so one walk serves all of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft import model
@@ -28,83 +28,102 @@ INSTANCE = "is an instantiation of this template"
 BUCKETS = ("direct", "possible", "indirect")
 
 
+#: The sentence of each step; steps under 20 are direct, under 30 possible, and 30 + hops indirect.
+REASONS = {
+    1: CALLS, 2: DERIVES, 3: USES, **{4 + k: reason for k, (_, reason) in enumerate(model.TYPE_REASONS)},
+    20: OVERRIDES, 21: OVERRIDES_FAR, 22: INHERITS, 23: POINTER, 24: ADDRESS, 25: INSTANCE,
+}
+
+
 def impact(
-    edges: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, *, depth: int = 3, limit: int | None = 60, dedup: str = "name"
+    edges: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, *, depth: int = 3, limit: int | None = 60, dedup: str = "name", buckets: tuple[str, ...] = BUCKETS
 ) -> DataFrame:
     """origin, bucket, rank, usr, symbol, reason, hops, cut; cut: a list behind the bucket was longer than the limit.
 
     An entry shows once, in the first bucket that has its display name (or usr, with dedup='usr').
+    Only what the asked buckets depend on is walked: nothing for direct ones, families for possible ones.
     """
     wanted = (targets if targets is not None else symbols).select(F.col("usr").alias("origin")).distinct()
     kinds = symbols.select(F.col("usr").alias("origin"), expr.callable_kind(F.col("kind")).alias("callable"))
     origins = wanted.join(kinds, "origin")
-    of = lambda *names: _in(edges, symbols, names, origins)
-    tree = family.report(edges, symbols, wanted.select(F.col("origin").alias("usr"))).select(F.col("usr").alias("origin"), "relation", F.col("other").alias("usr"))
-    tree = durable(tree.join(origins, "origin"))
-
-    parts: list[DataFrame] = []
-
-    def put(rows: DataFrame, bucket: str, step: int, reason: str) -> None:
-        parts.append(rows.select("origin", "usr", F.lit(bucket).alias("bucket"), F.lit(step).alias("step"), F.lit(reason).alias("reason")))
-
-    put(of("calls"), "direct", 1, CALLS)
-    put(tree.where("relation = 'derived'"), "direct", 2, DERIVES)
-    put(of("references").where("not callable"), "direct", 3, USES)
-    for k, (kind, reason) in enumerate(model.TYPE_REASONS):
-        put(of(kind), "direct", 4 + k, reason)
-    put(tree.where("relation = 'overrides'"), "possible", 20, OVERRIDES)
-    put(tree.where("relation = 'overrides_indirectly'"), "possible", 21, OVERRIDES_FAR)
-    put(tree.where("relation = 'descendants' and not callable"), "possible", 22, INHERITS)
-    put(of("calls_indirect"), "possible", 23, POINTER)
-    put(of("references").where("callable"), "possible", 24, ADDRESS)
-    put(of("specializes", "instantiates"), "possible", 25, INSTANCE)
-    near = parts[0]
-    for part in parts[1:]:
-        near = near.unionByName(part)
+    names = symbols.select("usr", expr.display().alias("symbol"), F.coalesce("in_project", F.lit(False)).alias("inside"))
+    near = _near(edges, origins, names)
+    if set(buckets) == {"direct"}:
+        return _shown(near.where("step < 20"), limit, dedup, buckets)
+    # a walk reads its edges once a level: they are written once, without flags
+    tied = durable(edges.where(F.col("kind").isin("inherits", "overrides", "instantiates")).select("kind", "src", "dst").distinct()).withColumn("flags", F.lit(None).cast("string"))
+    far = family.report(tied, symbols, wanted.select(F.col("origin").alias("usr")), relations=("overrides_indirectly", "descendants"))
+    far = far.select(F.col("usr").alias("origin"), F.col("other").alias("usr"), F.when(F.col("relation") == "descendants", 22).otherwise(21).alias("step"))
+    far = far.join(origins, "origin").where("step = 21 or not callable").join(names, "usr")
+    near = near.unionByName(far.select("origin", "usr", "symbol", "step"))
+    if "indirect" not in buckets:
+        return _shown(near, limit, dedup, buckets)
     near = durable(near)
-
     callers = edge_ops.linked(edges, symbols, model.CALLS, "in", True).select(F.col("usr").alias("at"), F.col("other").alias("usr")).where("at != usr").distinct()
+    callers = durable(callers)
+    key = "symbol" if dedup == "name" else "usr"
+    told = near.select("origin", key).distinct()
     seen = origins.select("origin", F.col("origin").alias("usr"))
-    frontier = near.where("bucket = 'direct'").select("origin", "usr").distinct().join(seen, ["origin", "usr"], "left_anti")
+    frontier = near.where("step < 20").select("origin", "usr").distinct().join(seen, ["origin", "usr"], "left_anti")
     seen = seen.unionByName(frontier)
-    out = near.withColumn("hops", F.lit(None).cast("long"))
+    out = near
     for hop in range(2, depth + 1):
         step = frontier.withColumnRenamed("usr", "at").join(callers, "at").select("origin", "usr").distinct()
         frontier = durable(step.join(seen, ["origin", "usr"], "left_anti"))
         if frontier.isEmpty():
             break
+        named = frontier.join(names, "usr").select("origin", "usr", "symbol", F.lit(30 + hop).alias("step"))
+        out = out.unionByName(named)
+        if hop == depth:
+            break
         seen = seen.unionByName(frontier)
-        out = out.unionByName(
-            frontier.select("origin", "usr", F.lit("indirect").alias("bucket"), F.lit(30 + hop).alias("step"), F.lit(f"calls a caller of this symbol ({hop} hops)").alias("reason"), F.lit(hop).cast("long").alias("hops"))
-        )
-    return _shown(out, symbols, limit, dedup)
-
-
-def _in(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, ...], origins: DataFrame) -> DataFrame:
-    found = edge_ops.linked(edges, symbols, kinds, "in", True).select(F.col("usr").alias("origin"), F.col("other").alias("usr")).distinct()
-    return found.join(origins, "origin")
-
-
-def _bucket_order(bucket: Column) -> Column:
-    order = F.lit(len(BUCKETS))
-    for k, name in enumerate(BUCKETS):
-        order = F.when(bucket == name, k).otherwise(order)
-    return order
-
-
-def _shown(rows: DataFrame, symbols: DataFrame, limit: int | None, dedup: str) -> DataFrame:
-    names = symbols.select("usr", expr.display().alias("symbol"))
-    named = rows.join(names, "usr")
-    longest = named.groupBy("origin", "bucket", "step").agg(F.count(F.lit(1)).alias("n")).groupBy("origin", "bucket").agg(F.max("n").alias("longest"))
-    order = [_bucket_order(F.col("bucket")), F.col("step"), F.col("symbol"), F.col("usr")]
+        if limit is not None:
+            # nearer hops rank first: an origin whose page these fill, and whose list is known to be cut, has no use for farther ones
+            many = frontier.groupBy("origin").count().where(F.col("count") > limit).select("origin")
+            full = named.join(many, "origin", "left_semi").select("origin", key).distinct().join(told, ["origin", key], "left_anti").groupBy("origin").count().where(F.col("count") >= limit)
+            full = durable(full.select("origin"))
+            frontier = frontier.join(full, "origin", "left_anti")
+    return _shown(out, limit, dedup, buckets)
+
+
+def _near(edges: DataFrame, origins: DataFrame, names: DataFrame) -> DataFrame:
+    """origin, usr, symbol, step of all that edges tell by themselves, in one pass over them."""
+    kind, inside, callable_ = F.col("kind"), F.col("inside"), F.col("callable")
+    steps = [
+        F.when((kind == "calls") & inside, 1), F.when(kind == "inherits", 2), F.when(kind == "instantiates", -2), F.when((kind == "references") & inside, F.when(callable_, 24).otherwise(3)),
+        *(F.when((kind == k) & inside, 4 + i) for i, (k, _) in enumerate(model.TYPE_REASONS)),
+        F.when(kind == "overrides", 20), F.when((kind == "calls_indirect") & inside, 23), F.when(kind.isin("specializes", "instantiates") & inside, 25),
+    ]
+    used = ["calls", "inherits", "instantiates", "references", *(k for k, _ in model.TYPE_REASONS), "overrides", "calls_indirect", "specializes"]
+    found = edges.where(kind.isin(*used)).select("kind", F.col("src").alias("usr"), F.col("dst").alias("origin")).join(origins, "origin").join(names, "usr")
+    rows = found.select("origin", "usr", "symbol", F.explode(F.array_compact(F.array(*steps))).alias("step")).distinct()
+    # users of a template derive from it (-2) under names that no derived type has; of those that share a name the first is told
+    same = Window.partitionBy("origin", "symbol")
+    marked = rows.withColumns({"__derived": F.max(F.col("step") == 2).over(same), "__first": F.min(F.when(F.col("step") == -2, F.col("usr"))).over(same)})
+    kept = marked.where((F.col("step") != -2) | (~F.col("__derived") & (F.col("usr") == F.col("__first"))))
+    return kept.select("origin", "usr", "symbol", F.abs("step").alias("step"))
+
+
+def _shown(rows: DataFrame, limit: int | None, dedup: str, buckets: tuple[str, ...]) -> DataFrame:
+    bucket = F.when(F.col("step") < 20, "direct").when(F.col("step") < 30, "possible").otherwise("indirect")
+    rows = rows.withColumn("bucket", bucket)
     key = "symbol" if dedup == "name" else "usr"
-    first = named.withColumn("__r", F.row_number().over(Window.partitionBy("origin", key).orderBy(*order))).where("__r = 1")
+    # windows that only cut needs go where cut is not read
+    step = F.count(F.lit(1)).over(Window.partitionBy("origin", "bucket", "step"))
+    sized = rows.withColumn("__n", step).withColumn("longest", F.max("__n").over(Window.partitionBy("origin", "bucket")))
+    first = sized.withColumn("__r", F.row_number().over(Window.partitionBy("origin", key).orderBy("step", "symbol", "usr"))).where("__r = 1")
+    first = first.where(F.col("bucket").isin(*buckets))
     rank = F.row_number().over(Window.partitionBy("origin", "bucket").orderBy("step", "symbol", "usr"))
-    ranked = first.withColumn("rank", rank.cast("long")).join(longest, ["origin", "bucket"])
+    ranked = first.withColumn("rank", rank)
     if limit is not None:
         ranked = ranked.where(F.col("rank") <= limit)
+    ranked = ranked.withColumn("rank", F.col("rank").cast("long"))
     cut = F.lit(False) if limit is None else F.col("longest") > limit
-    return ranked.select("origin", "bucket", "rank", "usr", "symbol", "reason", "hops", cut.alias("cut"))
+    hops = F.when(F.col("step") > 30, (F.col("step") - 30).cast("long"))
+    reason = F.when(F.col("step") > 30, F.concat(F.lit("calls a caller of this symbol ("), hops.cast("string"), F.lit(" hops)")))
+    for k, text in REASONS.items():
+        reason = reason.when(F.col("step") == k, text)
+    return ranked.select("origin", "bucket", "rank", "usr", "symbol", reason.alias("reason"), hops.alias("hops"), cut.alias("cut"))
 
 
 def of_changes(edges: DataFrame, symbols: DataFrame, changed: DataFrame, *, depth: int = 3, limit: int | None = 40) -> DataFrame:

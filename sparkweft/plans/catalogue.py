@@ -329,7 +329,7 @@ shown AS (SELECT *, row_number() OVER (PARTITION BY origin, bucket ORDER BY step
 
 def _impact_of(bucket: str):
     def run(spark, sf):
-        found = impact.impact(*load(spark, sf, "v_edge", "v_sym"), depth=3, limit=40)
+        found = impact.impact(*load(spark, sf, "v_edge", "v_sym"), depth=3, limit=40, buckets=(bucket,))
         return found.where(F.col("bucket") == bucket).select("origin", "rank", "usr", "symbol", "reason", "hops")
 
     run.__name__ = f"impact_{bucket}"

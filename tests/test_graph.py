@@ -195,6 +195,16 @@ def test_impact_in_three_degrees(graph, symbols):
     assert not impact.impact(graph(), symbols, depth=1).where("bucket = 'indirect'").collect()
 
 
+def test_direct_impact_walks_nothing(graph, symbols, monkeypatch):
+    for module in (impact, closure):
+        monkeypatch.setattr(module, "durable", lambda df: pytest.fail("a table was written"))
+    # a template's user derives from it unless a derived type has its name
+    more = [("ring", "instantiates", "ring", "shape", "lib/shape.h", 38, 1, None), ("ring", "instantiates", "disc", "shape", "lib/shape.h", 24, 1, None)]
+    rows = impact.impact(graph(*more), symbols, buckets=("direct",)).where("origin = 'shape'").collect()
+    assert sorted((r["rank"], r["usr"], r["reason"]) for r in rows) == [(1, "disc", impact.DERIVES), (2, "ring", impact.DERIVES), (3, "draw", model.TYPE_REASONS[0][1])]
+    assert {r["bucket"] for r in rows} == {"direct"}
+
+
 def test_impact_says_that_a_list_was_cut(graph, symbols, spark):
     users = [sym(f"paint{i}", "function", f"paint{i}", "()", "bin/draw.cpp", 200 + i) for i in range(6)]
     more = [("draw", "returns", f"paint{i}", "ring", "bin/draw.cpp", 200 + i, 1, None) for i in range(6)]
