@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from sparkweft.session import durable
 
 #: Lines of a bucket of the overlap join: a span and a range meet in the buckets that both touch.
 BUCKET = 32
+#: Ids of one place that travel as one list.
+LIST = 4096
+#: Ranges, and spans, of a cell of a bucket: a task is given about so many times so many pairs.
+SIDE = 11_585
 
 
 def spans(symbols: DataFrame) -> DataFrame:
@@ -41,6 +47,51 @@ def overlaps(ranges: DataFrame, found: DataFrame, bucket: int = BUCKET) -> DataF
     return met.where(F.col("__b") == first).drop("__b")
 
 
+def _listed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """file_id, start, end, ids (structs of the key): the rows of a place as lists of about `most`, null keys and repeats included."""
+    place = ["file_id", "start", "end"]
+    rows = rows.select(key, *place)
+    # fewer than one in `most` rows, so broadcast
+    many = rows.groupBy(*place).count().where(F.col("count") > most).select(*place, F.ceil(F.col("count") / most).alias("__n"))
+    part = F.pmod(F.xxhash64(key), F.coalesce("__n", F.lit(1))).alias("__part")
+    return rows.join(F.broadcast(many), place, "left").groupBy(*place, part).agg(F.collect_list(F.struct(key)).alias("ids")).drop("__part")
+
+
+def pairs(ranges: DataFrame, found: DataFrame, bucket: int = BUCKET, side: int = SIDE, most: int = LIST) -> DataFrame:
+    """range_id, usr of each row of `overlaps`, for results far larger than their inputs.
+
+    Ranges of equal lines meet the same spans, so places are joined and hold their ids as lists. A bucket of more
+    than side * side pairs is dealt as a grid of cells, and there are as many tasks as the pairs need, however few bytes
+    go in. Pairs leave a list of ranges at a time: a symbol is a run and the ranges repeat, which columnar files store in a
+    fraction of a byte a row.
+    """
+    spark = ranges.sparkSession
+    buckets = lambda: F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("__b")
+    asked = ranges.where("file_id is not null and start <= end")
+    held = found.where("file_id is not null and start <= end")
+    count = lambda df, c: df.select("file_id", buckets()).groupBy("file_id", "__b").agg(F.count("*").alias(c))
+    loads = durable(count(asked, "__l").join(count(held, "__h"), ["file_id", "__b"]))
+    load = F.col("__l").cast("double") * F.col("__h")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((loads.agg(F.sum(load)).first()[0] or 0) / side**2))
+    # fewer than there are tasks
+    grid = loads.where(load > side**2).select("file_id", "__b", F.ceil(F.col("__l") / side).alias("__rows"), F.ceil(F.col("__h") / side).alias("__columns"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, prefix: str) -> DataFrame:
+        named = _listed(rows, key, most).select("file_id", F.col("start").alias(f"{prefix}start"), F.col("end").alias(f"{prefix}end"), F.col("ids").alias(f"{prefix}ids"), buckets())
+        mine = F.pmod(F.xxhash64(f"{prefix}ids"), F.coalesce(own, F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        placed = named.join(F.broadcast(grid), ["file_id", "__b"], "left").select(*named.columns, mine.alias(f"{own}_at"), every.alias(f"{other}_at"))
+        return placed.repartition(tasks, *cell)
+
+    cell = ["file_id", "__b", "__rows_at", "__columns_at"]
+    left, right = dealt(asked, "range_id", "__rows", "__columns", "r_"), dealt(held, "usr", "__columns", "__rows", "s_")
+    first = F.greatest(F.floor(F.col("r_start") / bucket), F.floor(F.col("s_start") / bucket))
+    met = left.join(right, cell).where((F.col("r_start") <= F.col("s_end")) & (F.col("r_end") >= F.col("s_start")) & (F.col("__b") == first))
+    # a generator inside generated code copies and gathers all rows of its list; over a lambda's result it hands them on one by one
+    each = lambda ids, key: F.explode(F.transform(ids, lambda x: x[key])).alias(key)
+    return met.select("r_ids", each("s_ids", "usr")).select(each("r_ids", "range_id"), "usr")
+
+
 def innermost(ranges: DataFrame, found: DataFrame, containers: tuple[str, ...] = model.RANGE_CONTAINERS) -> DataFrame:
     """For each range the smallest container over it, else the first symbol on its lines.
 

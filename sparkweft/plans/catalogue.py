@@ -380,7 +380,7 @@ def symbols_in_range(spark, sf):
 def containers_in_range(spark, sf):
     found, spans = load(spark, sf, "v_range", "v_span")
     inside = ranges.spans(spans).where(F.col("kind").isin(*model.RANGE_CONTAINERS))
-    return ranges.overlaps(found, inside).select("range_id", "usr")
+    return ranges.pairs(found, inside)
 
 
 _ISLANDS = """

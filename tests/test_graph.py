@@ -1,8 +1,11 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkweft import model
 from sparkweft.operators import closure, edges, family, impact, merge, ranges, resolve, status
+from sparkweft.plans import catalogue
 
 # A small drawing library, made up for these tests: shapes in a namespace, three of them in a line of descent.
 FILES = [("lib/shape.h", False, True), ("lib/disc.cpp", False, True), ("lib/ring.cpp", False, True), ("bin/draw.cpp", False, True), ("/sdk/math.h", True, False)]
@@ -234,6 +237,43 @@ def test_overlaps_meet_once_across_buckets(spark):
         assert sorted((r["range_id"], r["usr"]) for r in ranges.overlaps(df, own, bucket=bucket).collect()) == want
 
 
+def test_pairs_are_those_of_the_overlaps(spark):
+    spans = [("all", "p", 1, 5000), ("all", "p", 1, 5000), (None, "p", 63, 65), *((f"few{i}", "p", 63, 65) for i in range(20)), ("far", "p", 4000, 4001), ("other", "q", 1, 5000), ("none", None, 1, 9)]
+    asked = [(1, "p", 10, 3000), (2, "r", 1, 2), *((i, "p", 64, 64) for i in range(3, 40)), (3, "p", 64, 64), (None, "p", 64, 64), (41, None, 1, 2), (42, "p", 9, 8)]
+    df, own = spark.createDataFrame(asked, "range_id int, file_id string, start int, end int"), spark.createDataFrame(spans, "usr string, file_id string, start int, end int")
+    want = Counter((r, u) for r, f, a, b in asked for u, g, c, d in spans if f and f == g and a <= b and a <= d and b >= c)
+    for bucket, side, most in ((32, 11_585, 4096), (1000, 3, 4), (100_000, 7, 1), (64, 1, 1000)):
+        found = ranges.pairs(df, own, bucket=bucket, side=side, most=most)
+        assert found.columns == ["range_id", "usr"] and Counter(tuple(r) for r in found.collect()) == want
+    assert not ranges.pairs(df.limit(0), own).collect()
+
+
+def test_lists_and_cells_of_pairs_are_bounded(spark):
+    # one line of one file with everything on it: 2,000 ranges and 500 spans
+    df, own = (spark.range(n).selectExpr(f"id as {key}", "'p' as file_id", "7 as start", "7 as end") for key, n in (("range_id", 2000), ("usr", 500)))
+    lists = [len(r["ids"]) for r in ranges._listed(df, "range_id", 100).collect()]
+    assert sum(lists) == 2000 and max(lists) < 200
+    found = ranges.pairs(df, own, side=100, most=10)
+    assert found.rdd.getNumPartitions() >= 100 and max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 100_000
+    assert found.distinct().count() == 1_000_000
+
+
+@pytest.mark.parametrize("name", ["containers_in_range"])
+def test_pairs_of_copied_tables_leave_in_runs(spark, tmp_path, name):
+    for table, keys in (("orders", ("o_orderkey", "o_custkey")), ("events", ("event_id", "user_id"))):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").crossJoin(spark.range(20).withColumnRenamed("id", "k"))
+        rows.withColumns({key: F.col(key) + F.col("k") * 1_000_000 for key in keys}).drop("k").write.parquet(str(tmp_path / f"{table}.parquet"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        users = [r["usr"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(users) == catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() * 20**2
+    # each symbol stands before at least the 20 copies of a range: runs, which columnar files hold in next to nothing
+    assert sum(a != b for a, b in zip(users, users[1:])) < len(users) / 19
+
+
 def test_ranges_collapse(spark):
     df = spark.createDataFrame([("m", 40, 41), ("m", 3, 3), ("m", 42, 50), ("m", 45, 46), ("n", 7, 7), ("n", 9, 9)], "k string, start int, end int")
     assert {tuple(r) for r in ranges.collapse(df, "k").collect()} == {("m", "3, 40-50"), ("n", "7, 9")}
