@@ -373,7 +373,7 @@ def changed_innermost(spark, sf):
 @query('SELECT r.range_id, s.usr FROM v_range r JOIN v_span s ON s.file_id = r.file_id AND r."start" <= s.end_line AND r."end" >= s.line')
 def symbols_in_range(spark, sf):
     found, spans = load(spark, sf, "v_range", "v_span")
-    return ranges.overlaps(found, ranges.spans(spans)).select("range_id", "usr")
+    return ranges.pairs(found, ranges.spans(spans))
 
 
 @query(f'SELECT r.range_id, s.usr FROM v_range r JOIN v_span s ON s.file_id = r.file_id AND r."start" <= s.end_line AND r."end" >= s.line WHERE {_INNER}')

@@ -258,7 +258,7 @@ def test_lists_and_cells_of_pairs_are_bounded(spark):
     assert found.distinct().count() == 1_000_000
 
 
-@pytest.mark.parametrize("name", ["containers_in_range"])
+@pytest.mark.parametrize("name", ["symbols_in_range", "containers_in_range"])
 def test_pairs_of_copied_tables_leave_in_runs(spark, tmp_path, name):
     for table, keys in (("orders", ("o_orderkey", "o_custkey")), ("events", ("event_id", "user_id"))):
         rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").crossJoin(spark.range(20).withColumnRenamed("id", "k"))
