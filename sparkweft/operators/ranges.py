@@ -57,6 +57,12 @@ def _listed(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.join(F.broadcast(many), place, "left").groupBy(*place, part).agg(F.collect_list(F.struct(key)).alias("ids")).drop("__part")
 
 
+def _pieces(ids: str, key: str, most: int) -> Column:
+    """The keys of a list of structs in arrays of at most `most`; lists are longer where one id occurs very often."""
+    last = ((F.size(ids) - 1) / most).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.slice(ids, i * most + 1, most), lambda x: x[key]))
+
+
 def pairs(ranges: DataFrame, found: DataFrame, bucket: int = BUCKET, side: int = SIDE, most: int = LIST) -> DataFrame:
     """range_id, usr of each row of `overlaps`, for results far larger than their inputs.
 
@@ -87,9 +93,10 @@ def pairs(ranges: DataFrame, found: DataFrame, bucket: int = BUCKET, side: int =
     left, right = dealt(asked, "range_id", "__rows", "__columns", "r_"), dealt(held, "usr", "__columns", "__rows", "s_")
     first = F.greatest(F.floor(F.col("r_start") / bucket), F.floor(F.col("s_start") / bucket))
     met = left.join(right, cell).where((F.col("r_start") <= F.col("s_end")) & (F.col("r_end") >= F.col("s_start")) & (F.col("__b") == first))
-    # a generator inside generated code copies and gathers all rows of its list; over a lambda's result it hands them on one by one
-    each = lambda ids, key: F.explode(F.transform(ids, lambda x: x[key])).alias(key)
-    return met.select("r_ids", each("s_ids", "usr")).select(each("r_ids", "range_id"), "usr")
+    # over a lambda's result a generator hands rows on one by one; over a plain column it is generated code, several times as fast, but
+    # gathers all rows of its list first: pieces are short
+    each = F.explode(F.transform("s_ids", lambda x: x["usr"])).alias("usr")
+    return met.select(F.explode(_pieces("r_ids", "range_id", most)).alias("r_ids"), "s_ids").select("r_ids", each).select(F.explode("r_ids").alias("range_id"), "usr")
 
 
 def innermost(ranges: DataFrame, found: DataFrame, containers: tuple[str, ...] = model.RANGE_CONTAINERS) -> DataFrame:

@@ -258,6 +258,23 @@ def test_lists_and_cells_of_pairs_are_bounded(spark):
     assert found.distinct().count() == 1_000_000
 
 
+def test_last_generator_of_pairs_is_generated_code_over_short_lists(spark):
+    df, own = (spark.range(n).selectExpr(f"id % 2 as {key}", "'p' as file_id", "7 as start", "7 as end") for key, n in (("range_id", 2000), ("usr", 50)))
+    # an id that occurs very often makes a long list, since a list is chosen by the id's hash
+    held = ranges._listed(df, "range_id", 100).select(F.explode(ranges._pieces("ids", "range_id", 100)).alias("piece")).collect()
+    assert max(len(r["piece"]) for r in held) == 100 and Counter(x for r in held for x in r["piece"]) == {0: 1000, 1: 1000}
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has its generated code only after the run
+    try:
+        found = ranges.pairs(df, own, most=100)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert Counter(tuple(r) for r in found.collect()) == {(r, u): 25_000 for r in (0, 1) for u in (0, 1)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    # from the top: ranges in generated code, symbols and pieces one by one
+    assert ["*(" in line for line in plan if "Generate explode" in line][:3] == [True, False, False]
+
+
 @pytest.mark.parametrize("name", ["symbols_in_range", "containers_in_range"])
 def test_pairs_of_copied_tables_leave_in_runs(spark, tmp_path, name):
     for table, keys in (("orders", ("o_orderkey", "o_custkey")), ("events", ("event_id", "user_id"))):
